@@ -62,3 +62,23 @@ common AS (SELECT host, bare FROM (SELECT host, bare, count(DISTINCT row) AS c F
 marked AS (SELECT row, pos, line, c.bare IS NULL AS stays FROM named n LEFT JOIN common c ON n.host = c.host AND n.bare = c.bare),
 texts AS (SELECT row, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS kept FROM marked GROUP BY row)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, kept AS text FROM docs LEFT JOIN texts USING (row)"""
+
+
+def warc_sql(least: int = 1000) -> str:
+    return f"""
+WITH rows AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+kept AS (SELECT digest, max(page_id) AS keeper FROM rows WHERE n >= {least} GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM rows LEFT JOIN kept USING (digest)"""
+
+
+def embedding_sql(cosine: float = 0.93) -> str:
+    """Every pair of rows of a label; for small tables."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+ok AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, LAMBDA a: a * a))) AS norm FROM v WHERE len(list_filter(x, LAMBDA a: a IS NULL OR NOT isfinite(a))) = 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {cosine}::DOUBLE),
+reach AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT w, c FROM reach JOIN links ON u = id),
+least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings e JOIN least ON id = vec_id LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) ON u = vec_id"""
