@@ -14,6 +14,8 @@ their places from the ranks, are computed on all executors; hot classes are rank
 
 from __future__ import annotations
 
+import json
+import pathlib
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -31,6 +33,40 @@ from .scratch import stored
 BUCKET_ROWS = 4000
 
 
+# How a byte-level vocabulary splits a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+def rank_encoder(path: str):
+    """A faster encoder of the same ids, or None if the file doesn't prove that it is one.
+
+    Merging by the order of merges is merging by the least id of what results if the file's merges yield, in their
+    order, rising ids, and if it splits texts by ``SPLIT`` and changes them in no other way.
+    """
+    import tiktoken
+
+    spec = json.loads(pathlib.Path(path).read_text(encoding="utf-8"))
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    vocabulary, letters = model["vocab"], byte_letters()
+    made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    base = [vocabulary.get(c) for c in letters]
+    if None in made or None in base or made != sorted(set(made)) or max(base) > made[0] or len(made) + len(base) < len(vocabulary) - len(spec.get("added_tokens", [])):
+        return None
+    known = set(made) | set(base)
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i in known}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """Ids of whole texts under a byte-level BPE whose pre-tokens never run from a character into a following space.
 
@@ -39,8 +75,9 @@ class WordEncoder:
     white space beyond ASCII, are encoded as a whole.
     """
 
-    UNSURE = re.compile("  | [\t\n\r\x0b\x0c]|[\t\n\r\x0b\x0c] |[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-    KEPT = 500_000
+    RUNS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+    WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+    KEPT = 400_000
     PIECE = 1 << 20
     JOINED = 256
 
@@ -49,19 +86,25 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ranks = rank_encoder(path)
         self.kept: dict[str, bytes] = {"": self._ids([" "])[0]}
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True  # tokens that begin with a space
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(x.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(x.ids)] if x.ids else b"" for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined_ids(self, texts: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return self._ids(texts)
+        return [np.array(self.ranks.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
 
     def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of non-empty parts, each with a leading space; many are encoded as one text, and told apart by their first tokens."""
         groups = [parts[i : i + self.JOINED] for i in range(0, len(parts), self.JOINED)]
         out: list[bytes] = []
-        for group, code in zip(groups, self._ids(["".join(f" {w}" for w in g) for g in groups]), strict=True):
+        for group, code in zip(groups, self._joined_ids(["".join(f" {w}" for w in g) for g in groups]), strict=True):
             at = np.flatnonzero(self.leads[np.frombuffer(code, dtype="<u4")]).tolist()
             if len(at) != len(group):
                 out += self._ids([f" {w}" for w in group])
@@ -74,22 +117,23 @@ class WordEncoder:
         new = set(parts).difference(kept)
         if new:
             if len(kept) > self.KEPT:
-                empty = kept[""]
-                kept.clear()
-                kept[""] = empty
+                # short words come again the soonest
+                short = {w: code for w, code in kept.items() if len(w) < 8}
+                kept = self.kept = short if len(short) < self.KEPT // 2 else {"": kept[""]}
                 new = set(parts).difference(kept)
             words = list(new)
             kept.update(zip(words, self._ids_of_parts(words), strict=True))
         return b"".join(map(kept.__getitem__, parts))
 
+    def _plain(self, text: str) -> bool:
+        return not any(x in text for x in self.RUNS) and (text.isascii() or not self.WIDE.search(text))
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.UNSURE.search(text):
-            return self._ids([text])[0]
         cut = text.find(" ", 1)
-        if cut < 0:
+        if cut < 0 or not self._plain(text):
             return self._ids([text])[0]
         out, at = self._ids([text[:cut]]) if not text.startswith(" ") else [self._encode_parts([text[1:cut]])], cut + 1
         while at <= len(text):
@@ -100,6 +144,16 @@ class WordEncoder:
         return b"".join(out)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker process: what it has kept serves its next tasks too."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def cut_starts(total: int, capacity: int) -> list[int]:
     """Where a document's pieces begin: all but the first hold ``capacity`` tokens."""
     first = total % capacity or capacity
@@ -114,7 +168,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             ids: list[bytes] = []
