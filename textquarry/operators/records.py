@@ -6,6 +6,7 @@ assignment of exclusive single values is relational; that one is solved a (docum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,23 +98,30 @@ def seeds(objects: DataFrame, threshold: float, temperature: float = 1.0) -> Dat
 def joint_scalars(assign: DataFrame, name: str, threshold: float, allows_absent: bool) -> DataFrame:
     """Exclusive single values: no candidate goes to two instances. A group is one document's field, bounded by its candidates."""
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        table = part.pivot_table(index=["place", "inst"], columns="cand", values="logit", aggfunc="first").sort_index()
-        if ABSENT not in table.columns:
-            table[ABSENT] = -np.inf
-        cands = [c for c in sorted(table.columns) if c != ABSENT]
-        empty = pd.DataFrame({"doc_id": [], "structure": [], "inst": [], "field": [], "cand": [], "score": []})
-        if not cands:
-            return empty
-        logits = table[[ABSENT, *cands]].fillna(-1e9).to_numpy(dtype=np.float64)
-        logits = np.maximum(logits, -1e9)
-        chosen = linear_sum_assignment(assignment_costs(logits, allows_absent))
-        shares = np.exp(logits - logits.max(axis=1, keepdims=True))
-        shares /= shares.sum(axis=1, keepdims=True)
-        rows = [(part["doc_id"].iloc[0], part["structure"].iloc[0], int(inst), name, cands[c], float(shares[r, c + 1])) for r, ((_, inst), c) in enumerate(zip(table.index, chosen, strict=True)) if c < len(cands) and not (allows_absent and shares[r, c + 1] < threshold)]
-        return pd.DataFrame(rows, columns=list(empty.columns)) if rows else empty
-
-    return assign.groupBy(*REC).applyInPandas(solve, "doc_id long, structure string, inst int, field string, cand int, score double")
+    columns = ["doc_id", "structure", "inst", "field", "cand", "score"]
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows: list[tuple] = []
+            for doc, structure, place, inst, cand, logit in part.itertuples(index=False):
+                order, row = np.unique(np.asarray(place), return_inverse=True)
+                cands, column = np.unique(np.append(ABSENT, cand), return_inverse=True)  # "absent" is the least number, so the first column
+                if len(cands) < 2:
+                    continue
+                logits = np.full((len(order), len(cands)), -1e9)
+                logits[row, column[1:]] = logit
+                owner = np.zeros(len(order), dtype=np.int64)
+                owner[row] = inst
+                chosen = linear_sum_assignment(assignment_costs(logits, allows_absent))
+                shares = np.exp(logits - logits.max(axis=1, keepdims=True))
+                shares /= shares.sum(axis=1, keepdims=True)
+                for r, c in enumerate(chosen.tolist()):
+                    if c < len(cands) - 1 and not (allows_absent and shares[r, c + 1] < threshold):
+                        rows.append((doc, structure, int(owner[r]), name, int(cands[c + 1]), float(shares[r, c + 1])))
+            yield pd.DataFrame(rows, columns=columns)
+
+    lists = [F.collect_list(c).alias(c) for c in ("place", "inst", "cand", "logit")]
+    return assign.groupBy(*REC).agg(*lists).mapInPandas(solve, "doc_id long, structure string, inst int, field string, cand int, score double")
 
 
 def owned_lists(assign: DataFrame, threshold: float) -> DataFrame:
