@@ -85,3 +85,32 @@ def test_entry_lists_queries_and_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_texts_from_an_open_stream(spark):
+    import io
+
+    assert [r["text"] for r in readers.stdin_lines(spark, io.StringIO(" a\n\n  \nb\n")).orderBy("doc_id").collect()] == [" a", "b"]
+    assert readers.stdin_text(spark, io.StringIO("a\nb")).first()["text"] == "a\nb"
+
+
+def test_differences():
+    from textquarry.functions.diff import differences
+
+    a = {"x": [1, 2.0, {"y": "s"}], "z": None}
+    assert not list(differences(a, {"x": [1.00001, 2, {"y": "s"}], "z": None}))
+    assert [p for p, *_ in differences(a, {"x": [1, 3, {"y": "t"}], "w": 1})] == [".x[1]", ".x[2].y", ".z", ".w"]
+
+
+def test_state_of_each_user_as_a_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    events.repartition(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    q = serving.last_events(stream).writeStream.format("memory").queryName("lasts").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["user_id"]: (r["last"], r["n"]) for r in spark.table("lasts").collect()}
+    from textquarry.queries import events_last6
+
+    want = {r["user_id"]: r["last"] for r in events_last6(spark, "/root/testdata/sf0.001").collect()}
+    assert {u: x for u, (x, _) in got.items()} == want and sum(n for _, n in got.values()) == events.count()

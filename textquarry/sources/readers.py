@@ -96,3 +96,13 @@ def pick_checkpoint(path: str | None, variant: str | None, variants: dict[str, s
     if name not in variants:
         raise SchemaError(f"unknown variant {name!r}; known: {', '.join(sorted(variants))}")
     return variants[name]
+
+
+def stdin_lines(spark: SparkSession, stream) -> DataFrame:
+    """(doc_id, text): the non-blank lines of an open text stream. For interactive use; the lines pass through the driver."""
+    return literal_texts(spark, [x.rstrip("\r\n") for x in stream if x.strip()])
+
+
+def stdin_text(spark: SparkSession, stream) -> DataFrame:
+    """(doc_id, text): all of an open text stream as one text."""
+    return literal_texts(spark, [stream.read()])
