@@ -40,7 +40,7 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found A
 each AS (SELECT doc_id, no, kind, unnest(range(1, len(wholes) + 1)) AS i, gaps, wholes, parts FROM found),
 placed AS (SELECT doc_id, no, kind, wholes[i] AS whole, parts[i] AS part,
   list_sum(list_transform(gaps[1:i], LAMBDA x: length(x))) + coalesce(list_sum(list_transform(wholes[1:i - 1], LAMBDA x: length(x))), 0) AS s FROM each),
-wide AS (SELECT DISTINCT whole FROM placed WHERE no >= {len(secrets.BASE)}),
+wide AS (SELECT DISTINCT whole FROM placed WHERE no >= {len(secrets.BASE)} AND NOT ({allowed})),
 windows AS (SELECT whole, i, unnest(string_split(substr(whole, i, {w}), '')) AS ch FROM (SELECT whole, unnest(range(1, length(whole) - {w - 2})) AS i FROM wide)),
 weights AS (SELECT whole, i, sum(v) AS v FROM (SELECT whole, i, ch, round(count(*) * log2(count(*)) * {secrets.UNIT})::BIGINT AS v FROM windows WHERE ch <> '' GROUP BY ALL) GROUP BY ALL),
 best AS (SELECT whole, min(v) AS least FROM weights GROUP BY ALL),
