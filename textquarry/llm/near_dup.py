@@ -6,11 +6,14 @@
 2. Bands of registers put representatives into buckets. Each one is compared with the
    least id of the buckets it is in (of those, the one it shares the most bands with):
    a pair a document. Connected components of the confirmed links follow.
-3. What a bucket still holds in different components is compared pair by pair, so no
-   candidate pair is left out: it is in one component already, or it is tested.
-   Inside a component no further pair is needed.
-4. A pair is tested in order of cost: by sizes (exact), by the joint likelihood estimate
+   Such a pair is tested in order of cost: by sizes (exact), by the joint likelihood estimate
    from registers (``SLACK`` below the threshold, over five standard errors), on full sets.
+3. No candidate pair is left out: it is in one component already, or it is tested now. In a
+   bucket of at most ``FEW`` texts that still holds several components, its pairs are listed and
+   tested one by one. In a larger one common shingles of all its texts are counted at once on
+   full sets: it is cut into chunks, and each pair of chunks is a unit of work of bounded size. A
+   unit returns links that join components, at most one less than it has components, and
+   never its pairs: a group of k texts costs k rows, not k^2.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^40 = 1e-7.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,13 @@ from .scratch import stored
 #: How far below the threshold an estimate may lie; the standard error at 0.8 is 0.03.
 SLACK = 0.17
 
+#: Texts of a bucket whose pairs are listed: at most (FEW - 1) / 2 a text.
+FEW = 8
+#: A unit holds two chunks of about this many texts and bytes of sets each, at most.
+CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
+#: Shingles in at least so many texts of a unit are counted by products of matrices, the others by their pairs.
+FREQUENT = 12
+
 _SKETCH = "id long, n long, d1 long, d2 long, bands array<long>, registers binary"
 
 
@@ -101,6 +112,79 @@ def _tested(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     return stored(with_sets.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common (upper triangle and diagonal may be left 0 or not: use i < j only)."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(np.concatenate(sets) if m else np.zeros(0, dtype=U), kind="stable")
+    flat, owner = np.concatenate(sets)[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(flat)))
+    cells = []
+    for size in range(2, FREQUENT):
+        some = starts[sizes == size]
+        if len(some):
+            own = owner[some[:, None] + np.arange(size)]
+            a, b = np.triu_indices(size, 1)
+            cells.append((own[:, a] * m + own[:, b]).ravel())
+    counts = np.bincount(np.concatenate(cells), minlength=m * m).reshape(m, m).astype(np.float32) if cells else np.zeros((m, m), dtype=np.float32)
+    often = np.flatnonzero(sizes >= FREQUENT)
+    for i in range(0, len(often), 2048):
+        some = often[i : i + 2048]
+        block = np.zeros((m, len(some)), dtype=np.float32)
+        for c, k in enumerate(some.tolist()):
+            block[owner[starts[k] : starts[k] + sizes[k]], c] = 1
+        counts += block @ block.T
+    return counts
+
+
+def _unit_links(percent: int):
+    def unit_links(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.sort_values("id", kind="stable")
+        sets = [np.frombuffer(x, dtype=U) for x in unit["set"]]
+        n, component, side = np.array([len(x) for x in sets]), unit["c"].to_numpy(), unit["side"].to_numpy()
+        common = common_counts(sets).astype(np.int64)
+        i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
+        two = side.max() != side.min()
+        keep = (component[i] != component[j]) & ((side[i] != side[j]) | (not two))
+        known, own = np.unique(component, return_inverse=True)
+        links = list(zip(own[i[keep]].tolist(), own[j[keep]].tolist(), strict=True))
+        parent, out = list(range(len(known))), []
+        for a, b in dict.fromkeys(links):
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            while parent[b] != b:
+                parent[b] = parent[parent[b]]
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((known[a], known[b]))
+        return pd.DataFrame(out, columns=["c_a", "c_b"])
+
+    return unit_links
+
+
+def _links_in_buckets(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (c_a, c_b) between components that meet in a bucket; ``placed``: (band, h, id, n, c)."""
+    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).where("low < high")
+    chunks = F.ceil(F.greatest(F.col("rows") / CHUNK_ROWS, F.col("elements") * 8 / CHUNK_BYTES)).cast("int")
+    mixed = stored(mixed.select("band", "h", F.when(F.col("rows") > FEW, chunks).otherwise(0).alias("chunks")), "mixed-buckets")
+    rows = stored(placed.join(mixed, ["band", "h"]), "mixed")
+
+    side = lambda x: rows.where("chunks = 0").select("band", "h", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
+    pairs = side("a").join(side("b"), ["band", "h"]).where("c_a < c_b").where(_similar_sizes(percent))
+    pairs = stored(pairs.select("a", "b", "n_a", "n_b", "c_a", "c_b").distinct(), "pairs")
+    listed = _tested(pairs, sketches, sets, percent).join(pairs.select("a", "b", "c_a", "c_b"), ["a", "b"]).select("c_a", "c_b")
+
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    units = rows.where("chunks > 0").select("band", "h", "id", "c", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("q"))
+    # only one side of a pair of chunks is named first; a chunk with itself is a unit too
+    units = units.select("band", "h", "id", "c", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), (F.col("p") > F.col("q")).cast("int").alias("side"))
+    counted = units.join(sets, "id").groupBy("band", "h", "first", "second").applyInPandas(_unit_links(percent), "c_a long, c_b long")
+    return listed.union(counted).distinct()
+
+
 def _similar_sizes(percent: int):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
@@ -140,13 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = stored(first, "components")
 
     placed = inside.select("band", "h", "id", "n").join(first, "id", "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "h")
-    placed = stored(placed.join(mixed, ["band", "h"]), "mixed")
-    side = lambda x: placed.select("band", "h", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
-    rest = side("a").join(side("b"), ["band", "h"]).where("c_a < c_b").where(_similar_sizes(percent))
-    rest = stored(rest.select("a", "b", "n_a", "n_b", "c_a", "c_b").distinct(), "rest")
-    late = _tested(rest, sized, sets, percent).join(rest.select("a", "b", "c_a", "c_b"), ["a", "b"])
-    second = connected_components(late, "c_a", "c_b")
+    second = connected_components(_links_in_buckets(placed, sized, sets, percent), "c_a", "c_b")
 
     of_reps = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
     single = second.join(first.select("id"), "id", "left_anti")
