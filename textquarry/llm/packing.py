@@ -77,7 +77,7 @@ class WordEncoder:
 
     RUNS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
     WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-    KEPT = 400_000
+    KEPT = 100_000
     PIECE = 1 << 20
     JOINED = 256
 
