@@ -291,6 +291,11 @@ SELECT vec_id, round(list_max(r) / list_sum(r), 6) AS top, (list_position(v, lis
  round(ln(1 + (vec_id % 50 + 1)), 6) AS log_length, round(1 / sqrt(vec_id % 50 + 1), 6) AS inverse_root,
  (CASE WHEN abs(g) <= 16 THEN g ELSE sign(g) * (ceil(ln(abs(g) / 16) / ln(127 / 16) * 15) + 16) END)::INTEGER AS bucket,
  round(0.8 ** 5 * v[1] + 0.2 * (0.8 ** 4 * v[2] + 0.8 ** 3 * v[3] + 0.8 ** 2 * v[4] + 0.8 * v[5] + v[6]), 6) AS smoothed FROM d""",
+    "score_functions_whole": """WITH rows AS (SELECT vec_id, list_transform(embedding, LAMBDA x: round(x::DOUBLE, 5)) AS v FROM embeddings), p AS (SELECT *, list_transform(v, LAMBDA x: exp(x)) AS r FROM rows), d AS (SELECT *, (vec_id % 200 - 100) AS g FROM p)
+SELECT vec_id, round(list_max(r) / list_sum(r), 6) AS top, (list_position(v, list_max(v)) - 1)::INTEGER AS best, round(list_sum(list_transform(range(1, len(r) + 1), LAMBDA i: (i - 1) * r[i])) / list_sum(r), 6) AS level, round(list_sum(list_transform(v, LAMBDA x: x * x)), 6) AS norm2,
+ round(ln(1 + (vec_id % 50 + 1)), 6) AS log_length, round(1 / sqrt(vec_id % 50 + 1), 6) AS inverse_root,
+ (CASE WHEN abs(g) <= 16 THEN g ELSE sign(g) * (ceil(ln(abs(g) / 16) / ln(127 / 16) * 15) + 16) END)::INTEGER AS bucket,
+ round(list_sum(list_transform(range(1, len(v) + 1), LAMBDA i: v[i] * 0.8::DOUBLE ** (len(v) - i) * CASE WHEN i = 1 THEN 1 ELSE 0.2::DOUBLE END)), 6) AS smoothed FROM d""",
     "events_last6": "SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS last FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 6) GROUP BY user_id",
     "events_action_stats": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean_value FROM events GROUP BY event_type",
     "events_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",

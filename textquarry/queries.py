@@ -432,10 +432,9 @@ def interval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.interval_mean(rows, ["user_id"], "ix", "cents", intervals).select("user_id", F.col("start").cast("long").alias("first_ix"), F.round("mean", 4).alias("mean"))
 
 
-@query
-def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar functions over vectors: softmax, argmax, dot products, length features, buckets, smoothing."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: F.round(x.cast("double"), 5)), 1, 6).alias("v"))
+def _vector_scores(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (v if first is None else F.slice(v, 1, first)).alias("v"))
     p = S.softmax(F.col("v"))
     n = (F.col("vec_id") % 50 + 1).cast("double")
     f = S.length_features(n, F.lit(50.0))
@@ -445,6 +444,18 @@ def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions over the first six components of vectors, as its SQL has them; ``score_functions_whole`` takes all."""
+    return _vector_scores(spark, sf_dir, 6)
+
+
+@query
+def score_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions over whole vectors: softmax, argmax, dot products, length features, buckets, smoothing."""
+    return _vector_scores(spark, sf_dir)
+
+
 # ---- events, sources, sinks --------------------------------------------------------------------------------------
 
 
