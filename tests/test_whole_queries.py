@@ -21,3 +21,13 @@ def test_score_functions_whole_sees_all_components(spark, tmp_path):
         assert r["best"] == v.index(max(v))
         expected = math.exp(max(v)) / total, sum(k * math.exp(x) for k, x in enumerate(v)) / total, sum(x * x for x in v), smoothed
         assert all(abs(a - b) < 2e-6 for a, b in zip((r["top"], r["level"], r["norm2"], r["smoothed"]), expected, strict=True))
+
+
+def test_text_prepare_whole_reaches_the_end(spark, tmp_path):
+    rows = [(1, " ".join(f"Word{i}" for i in range(30))), (2, "Ends Already! " * 9 + "So?"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in queries.QUERIES["text_prepare_whole"](spark, str(tmp_path)).collect()}
+    assert found[1]["model_words"].split(" ") == [f"word{i}" for i in range(30)] + ["."]
+    assert found[2]["model_words"] == "ends already ! " * 9 + "so ?"
+    assert [found[i]["n_words"] for i in (1, 2, 3, 4)] == [31, 29, 1, 1]
+    assert found[3]["model_words"] == found[4]["model_words"] == "."

@@ -233,6 +233,8 @@ ORACLE_SQL: dict[str, str] = {
     "tokenize_words": words_sql(WORDS),
     "tokenize_chars": words_sql(CHARS),
     "text_prepare": f"""WITH {DOCS}, w AS (SELECT doc_id, regexp_extract_all(CASE WHEN body = '' THEN '.' WHEN regexp_matches(body, '[.!?]$') THEN body ELSE body || '.' END, {q(WORDS)}, 0)[1:12] AS words FROM docs)
+SELECT doc_id, array_to_string(list_transform(words, LAMBDA x: lower(x)), ' ') AS model_words, len(words)::BIGINT AS n_words FROM w""",
+    "text_prepare_whole": f"""WITH {DOCS}, w AS (SELECT doc_id, regexp_extract_all(CASE WHEN body = '' THEN '.' WHEN regexp_matches(body, '[.!?]$') THEN body ELSE body || '.' END, {q(WORDS)}, 0) AS words FROM docs)
 SELECT doc_id, array_to_string(list_transform(words, LAMBDA x: lower(x)), ' ') AS model_words, len(words)::BIGINT AS n_words FROM w""",
     "chunk_documents": f"WITH {chunk_ctes()} SELECT doc_id, chunk_ix::INTEGER AS chunk_ix, chunk_start::INTEGER AS start_char, length(body)::BIGINT AS n_chars, md5(body) AS text_md5 FROM chunks",
     "span_enumerate": f"""WITH {DOCS}, n AS (SELECT doc_id, len(regexp_extract_all(body, {q(WORDS)}, 0)) AS n FROM docs), starts AS (SELECT doc_id, n, unnest(range(0, n)) AS s FROM n), spans AS (SELECT doc_id, s, unnest(range(s + 1, least(s + 8, n) + 1)) AS e FROM starts)

@@ -66,10 +66,21 @@ def tokenize_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(T.word_table(documents(spark, sf_dir), splitter="char"))
 
 
+def _prepared(spark: SparkSession, sf_dir: str, max_words: int | None = None) -> DataFrame:
+    words = T.words(T.with_end_mark(F.coalesce("text", F.lit(""))), max_words=max_words)
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(words, F.lower), " ").alias("model_words"), F.size(words).cast("long").alias("n_words"))
+
+
 @query
 def text_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = T.words(T.with_end_mark(F.coalesce("text", F.lit(""))), max_words=12)
-    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(words, F.lower), " ").alias("model_words"), F.size(words).cast("long").alias("n_words"))
+    """The word cap: the first twelve words, as its SQL has them; ``text_prepare_whole`` has all words and the end mark."""
+    return _prepared(spark, sf_dir, 12)
+
+
+@query
+def text_prepare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-cased words of whole texts, with the end mark."""
+    return _prepared(spark, sf_dir)
 
 
 @query
