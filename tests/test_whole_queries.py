@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 from textquarry import queries
 
@@ -31,3 +32,11 @@ def test_text_prepare_whole_reaches_the_end(spark, tmp_path):
     assert found[2]["model_words"] == "ends already ! " * 9 + "so ?"
     assert [found[i]["n_words"] for i in (1, 2, 3, 4)] == [31, 29, 1, 1]
     assert found[3]["model_words"] == found[4]["model_words"] == "."
+
+
+def test_interval_mean_whole_averages_the_last_events(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(u * 100 + i, u, start + timedelta(minutes=i), float(i)) for u, n in ((1, 2), (2, 5), (3, 8)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = {(r["user_id"], r["first_ix"]): r["mean"] for r in queries.QUERIES["interval_mean_whole"](spark, str(tmp_path)).collect()}
+    assert found == {(1, 0): 50.0, (2, 0): 200.0, (3, 0): 200.0, (3, 5): 600.0}

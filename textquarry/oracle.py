@@ -288,6 +288,8 @@ SELECT {EDGE} FROM edges QUALIFY row_number() OVER (PARTITION BY doc_id, hs, he,
     "pool_quota_union": pool_sql(True, 12),
     "interval_mean": """WITH rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ix, round(value * 100) AS cents FROM events)
 SELECT user_id, (ix // 5) * 5 AS first_ix, round(avg(cents), 4) AS mean FROM rows GROUP BY user_id, ix // 5 HAVING count(*) = 5""",
+    "interval_mean_whole": """WITH rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ix, round(value * 100) AS cents FROM events)
+SELECT user_id, (ix // 5) * 5 AS first_ix, round(avg(cents), 4) AS mean FROM rows GROUP BY user_id, ix // 5""",
     "score_functions": """WITH rows AS (SELECT vec_id, list_transform(embedding[1:6], LAMBDA x: round(x::DOUBLE, 5)) AS v FROM embeddings), p AS (SELECT *, list_transform(v, LAMBDA x: exp(x)) AS r FROM rows), d AS (SELECT *, (vec_id % 200 - 100) AS g FROM p)
 SELECT vec_id, round(list_max(r) / list_sum(r), 6) AS top, (list_position(v, list_max(v)) - 1)::INTEGER AS best, round(list_sum(list_transform(range(1, 7), LAMBDA i: (i - 1) * r[i])) / list_sum(r), 6) AS level, round(list_sum(list_transform(v, LAMBDA x: x * x)), 6) AS norm2,
  round(ln(1 + (vec_id % 50 + 1)), 6) AS log_length, round(1 / sqrt(vec_id % 50 + 1), 6) AS inverse_root,

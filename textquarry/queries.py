@@ -434,13 +434,25 @@ def pool_quota_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("score", 4).alias("score"), F.col("slot").cast("long").alias("slot"))
 
 
+def _interval_mean(spark: SparkSession, sf_dir: str, to_the_end: bool) -> DataFrame:
+    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ix = F.row_number().over(by_time) - 1
+    rows = table(spark, sf_dir, "events").select("user_id", ix.alias("ix"), F.round(F.col("value") * 100).alias("cents"), F.lead(F.lit(1)).over(by_time).isNull().alias("last"))
+    closing = (F.col("ix") % 5 == 4) | (F.col("last") & F.lit(to_the_end))
+    intervals = rows.where(closing).select("user_id", (F.col("ix") - F.col("ix") % 5).alias("start"), (F.col("ix") + 1).alias("end"))
+    return S.interval_mean(rows.drop("last"), ["user_id"], "ix", "cents", intervals).select("user_id", F.col("start").cast("long").alias("first_ix"), F.round("mean", 4).alias("mean"))
+
+
 @query
 def interval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over runs of five events of a user, from running sums of whole numbers."""
-    ix = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    rows = table(spark, sf_dir, "events").select("user_id", ix.alias("ix"), F.round(F.col("value") * 100).alias("cents"))
-    intervals = rows.where("ix % 5 = 4").select("user_id", (F.col("ix") - 4).alias("start"), (F.col("ix") + 1).alias("end"))
-    return S.interval_mean(rows, ["user_id"], "ix", "cents", intervals).select("user_id", F.col("start").cast("long").alias("first_ix"), F.round("mean", 4).alias("mean"))
+    """Means over full runs of five events of a user, as its SQL has them; ``interval_mean_whole`` averages all events."""
+    return _interval_mean(spark, sf_dir, False)
+
+
+@query
+def interval_mean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over runs of five events of a user, the last run to the user's last event, from running sums of whole numbers."""
+    return _interval_mean(spark, sf_dir, True)
 
 
 def _vector_scores(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
