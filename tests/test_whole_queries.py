@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 from textquarry import queries
+from textquarry.llm.line_dedup import drop_boilerplate
 
 
 def test_score_functions_whole_sees_all_components(spark, tmp_path):
@@ -40,3 +41,14 @@ def test_interval_mean_whole_averages_the_last_events(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
     found = {(r["user_id"], r["first_ix"]): r["mean"] for r in queries.QUERIES["interval_mean_whole"](spark, str(tmp_path)).collect()}
     assert found == {(1, 0): 50.0, (2, 0): 200.0, (3, 0): 200.0, (3, 5): 600.0}
+
+
+def test_line_dedup_reaches_small_hosts(spark):
+    sizes = {"one": 1, "two": 2, "four": 4, "six": 6, "ten": 10}
+    rows = [(f"{host}{i}", "\n".join(["menu"] * (host != "ten" or i < 4) + ["some"] * (i == 0 or (host == "four" and i < 3)) + [f"own {i}"]), host) for host, n in sizes.items() for i in range(n)]
+    out = {r["doc_id"]: r["text"] for r in drop_boilerplate(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()}
+    assert out["one0"] == "menu\nsome\nown 0"  # a ratio of one page means nothing
+    assert (out["two0"], out["two1"]) == ("some\nown 0", "own 1")
+    assert [out[f"four{i}"] for i in range(4)] == [f"own {i}" for i in range(4)]
+    assert out["six0"] == "some\nown 0"
+    assert out["ten0"] == "menu\nsome\nown 0"  # four pages, fewer than the five that larger hosts need

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate of a host if it stands on more than ``max_ratio`` of the host's
-pages, and on ``min_pages`` of them at least. Lines are compared without surrounding white
+pages, and on ``min_pages`` of them at least; on a host with fewer than twice as many pages
+half of them are enough, but never a single one. Lines are compared without surrounding white
 space; blank lines never count and always stay.
 
 Two passes over the pages: (1) distinct line hashes of each page are counted per host, with
@@ -21,6 +22,7 @@ from .scratch import stored
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
+FEW_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
@@ -40,7 +42,9 @@ def boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", max
     hashes = F.filter(F.array_distinct(F.transform(_lines(F.coalesce("text", F.lit(""))), _hash)), lambda h: h.isNotNull())
     counts = pages.select("host", F.explode(hashes).alias("line_hash")).groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("pages"))
     # what few pages hold goes before the join; a host's total is one row
-    return counts.where(F.col("pages") >= min_pages).join(totals, "host").where(F.col("pages") > F.col("host_pages") * F.lit(float(max_ratio)))
+    few = min(FEW_PAGES, min_pages)
+    least = F.greatest(F.lit(few), F.least(F.lit(min_pages), F.ceil(F.col("host_pages") / 2)))
+    return counts.where(F.col("pages") >= few).join(totals, "host").where((F.col("pages") >= least) & (F.col("pages") > F.col("host_pages") * F.lit(float(max_ratio))))
 
 
 def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
