@@ -243,3 +243,31 @@ def test_damaged_archives_are_refused():
     assert warc.parse_record(record)["payload"] == b"abc"
     with pytest.raises(ValueError, match="digest"):
         warc.parse_record(record.replace(b"\r\n\r\nabc", b"\r\n\r\nabd"))
+
+
+def test_embedding_rows_that_repeat_and_many_labels(spark):
+    same, other = [1.0, 2.0, 0.5], [-1.0, 0.0, 3.0]
+    rows = [(1, same, 0), (1, same, 0), (2, same, 0), (3, other, 0), (4, None, 0), (5, same, None), (6, same, 1), (None, same, 0), (7, [0.0] * 3, 0), (8, same, 2), (8, other, 2), (9, other, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dup.embedding_duplicates(table).collect())
+    want = [(-1, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+    assert out == sorted([*want, (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False)])  # 8 has a vector like 9's, and one of its own
+    many = spark.range(40_000).selectExpr("id as vec_id", "array(cast(id div 20000 + 1 as float), cast(1 as float)) as embedding", "cast(id % 20000 as int) as label")
+    found = embedding_dup.embedding_duplicates(many, cosine=0.9)
+    assert found.where("n_links = 1 and component_id = vec_id % 20000").count() == 40_000
+
+
+@pytest.mark.parametrize("most_centres", [1, 6, 40])
+def test_top_tree_loses_no_link(spark, most_centres):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(7, 8))
+    rows = [(i, [float(x) for x in centres[i % 7] + rng.normal(size=8) * (0.05 if i % 3 else 0.6)], 0 if i % 5 else 1) for i in range(420)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links = cosine_links(rows, 0.93)
+    out = {r["vec_id"]: r for r in embedding_dup.embedding_duplicates(table, chunk=25, most_centres=most_centres).collect()}
+    assert {i: r["component_id"] for i, r in out.items()} == least_reachable([r[0] for r in rows], links)
+    counts = dict.fromkeys(range(420), 0)
+    for a, b in links:
+        counts[a] += 1
+        counts[b] += 1
+    assert {i: r["n_links"] for i, r in out.items()} == counts

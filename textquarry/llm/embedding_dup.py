@@ -5,10 +5,12 @@ cover tree has a centre and a covering radius, and children of half the radius t
 nodes are pruned if their centres are farther apart than both radii and the threshold; all their pairs are
 links if the centres' distance and both radii stay below it; else the larger is opened, and leaves are compared.
 
-The top of the tree is a bounded set of centres (``CENTRES``): every vector belongs to its nearest one. A vector is
-compared with another cell only if it can reach it: by that cell's covering radius, and by the bisector of both
-centres. Cells are cut into chunks of about ``CHUNK`` vectors; each pair of chunks is one unit of work of bounded
-size, with trees of its own, however many vectors share a label or a cell.
+A label whose vectors fit in one unit of work (``CHUNK_BYTES``) is one tree. A larger one gets a tree at the top too: its
+nodes cover a bounded sample of the label's vectors (``CENTRES`` of all labels together), its leaves are cells, and
+every vector belongs to the cell of its nearest centre. Covering radii are the largest distances that occur. A dual traversal
+of the top tree prunes pairs of cells; of a cell that is left for its own one, a vector goes only to those that it can
+reach, by the cell's covering radius and by its distance from the plane between both centres. Cells are cut into chunks, and
+each pair of chunks is a unit with trees of its own, of bounded size however many vectors share a label or a cell.
 
 Equal vectors are one vertex with a weight; they are never compared with each other. A unit returns counts of
 links and a spanning forest of what it found, never all pairs of a group.
@@ -25,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .kernels import splitmix
 from .scratch import stored
 
-CHUNK = 2000
+#: Bytes of vectors, as doubles, in a chunk; a unit holds two chunks.
+CHUNK_BYTES = 4 << 20
 #: Centres of all labels together, at most; they are sent to every executor.
 CENTRES = 8192
 LEAF = 48
+#: Rows of a leaf compared with another leaf at once.
+ROWS = 512
 #: Distances within it of a bound are decided by the vectors themselves.
 EPS = 1e-9
 
@@ -141,28 +147,30 @@ def dual_traversal(x: np.ndarray, a: Node, b: Node, cosine: float, links: Links)
         elif b.children:
             todo += [(a, q) for q in b.children]
         else:
-            dots = x[a.points] @ x[b.points].T
-            i, j = np.nonzero(dots >= cosine)
-            if same:
-                i, j = i[i < j], j[i < j]
-            links.pairs(a.points[i], b.points[j])
+            for at in range(0, len(a.points), ROWS):
+                low = at if same else 0
+                i, j = np.nonzero(x[a.points[at : at + ROWS]] @ x[b.points[low:]].T >= cosine)
+                if same:
+                    i, j = i[i < j], j[i < j]
+                links.pairs(a.points[at + i], b.points[low + j])
 
 
 _VALID = "id long, label long, dim int, v binary, key binary"
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row; v and key are null where the vector can't be linked."""
     import hashlib
 
     for batch in batches:
         rows = []
         for key, vector, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if key is None or label is None or not vector or None in vector:
-                continue
-            v = np.array(vector, dtype=np.float64) + 0.0  # no negative zeros: equal vectors have equal bytes
-            if np.isfinite(v).all() and v.any():
-                raw = v.tobytes()
-                rows.append((key, label, len(v), raw, hashlib.md5(raw).digest()))
+            raw = None
+            if key is not None and label is not None and vector and None not in vector:
+                v = np.array(vector, dtype=np.float64) + 0.0  # no negative zeros: equal vectors have equal bytes
+                if np.isfinite(v).all() and v.any():
+                    raw = v.tobytes()
+            rows.append((key, label, len(vector or ()), raw, hashlib.md5(raw).digest() if raw is not None else None))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["id", "label", "dim", "v", "key"])
 
@@ -173,137 +181,210 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.sqrt(np.maximum(2 - 2 * (x @ centres.T), 0.0))
-    return d.argmin(axis=1), d
+def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (x @ centres.T), 0.0))
 
 
 class Top:
-    """The centres of each (label, dim), with the cells' radii and numbers of chunks, once known."""
+    """The top tree's cells of one label: centres, covering radii, numbers of chunks, and which cells may hold links with which."""
 
-    def __init__(self, centres: dict[tuple[int, int], np.ndarray]) -> None:
+    def __init__(self, centres: np.ndarray) -> None:
         self.centres = centres
-        self.radius = {k: np.zeros(len(c)) for k, c in centres.items()}
-        self.chunks = {k: np.ones(len(c), dtype=np.int64) for k, c in centres.items()}
-
-
-def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], list[int]]]:
+        self.radius = np.zeros(len(centres))
+        self.chunks = np.zeros(len(centres), dtype=np.int64)
+        self.near = np.ones((len(centres), len(centres)), dtype=bool)
+        self.between = _apart(centres, centres)
+
+    def prune(self, limit: float) -> None:
+        """Dual traversal of the tree of centres; a node covers the vectors of its cells."""
+        tree, cells = cover_tree(self.centres), self.centres
+        reach: dict[int, float] = {}
+
+        def covered(node: Node) -> float:
+            reach[id(node)] = float((_distances(cells[node.points], node.centre) + self.radius[node.points]).max())
+            for child in node.children:
+                covered(child)
+            return reach[id(node)]
+
+        covered(tree)
+        self.near = np.zeros_like(self.near)
+        todo = [(tree, tree)]
+        while todo:
+            a, b = todo.pop()
+            if a is not b and float(np.sqrt(((a.centre - b.centre) ** 2).sum())) > reach[id(a)] + reach[id(b)] + limit + EPS:
+                continue
+            if a is b and a.children:
+                todo += [(p, q) for k, p in enumerate(a.children) for q in a.children[k:]]
+            elif a.children and (reach[id(a)] >= reach[id(b)] or not b.children):
+                todo += [(p, b) for p in a.children]
+            elif b.children:
+                todo += [(a, q) for q in b.children]
+            else:
+                at = np.ix_(a.points, b.points)
+                close = self.between[at] <= self.radius[a.points][:, None] + self.radius[b.points][None, :] + limit + EPS
+                self.near[at] |= close
+                self.near[np.ix_(b.points, a.points)] |= close.T
+        np.fill_diagonal(self.near, True)
+
+    def reached(self, d: np.ndarray, cell: np.ndarray, limit: float) -> np.ndarray:
+        """Rows x cells: whether a vector of distances d from the centres can have a partner in a cell."""
+        own = d[np.arange(len(d)), cell][:, None]
+        # a partner is nearer to its own centre, so x is within the limit of the plane between both centres
+        plane = d * d - own * own <= 2 * self.between[cell] * limit + EPS
+        return self.near[cell] & (d <= self.radius + limit + EPS) & plane
+
+
+def _by_group(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
     groups: dict[tuple[int, int], list[int]] = {}
     for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
         groups.setdefault(k, []).append(i)
-    yield from groups.items()
+    for k, at in groups.items():
+        yield k, np.array(at)
 
 
 def _cells(shared):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
+        tops = shared.value
         for batch in batches:
-            raw = batch.column(3).to_pylist()
+            raw = batch.column(2).to_pylist()
             for key, at in _by_group(batch):
-                cell, d = _nearest(_unit([raw[i] for i in at]), top.centres[key])
-                for c in np.unique(cell):
-                    own = d[cell == c, c]
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([int(c)], pa.int32()), pa.array([float(own.max())]), pa.array([len(own)], pa.int64())], ["label", "dim", "cell", "radius", "n"])
+                d = _apart(_unit([raw[i] for i in at]), tops[key].centres)
+                cell = d.argmin(axis=1)
+                found, n = np.unique(cell, return_counts=True)
+                radius = [float(d[cell == c, c].max()) for c in found]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array([key[1]] * len(found), pa.int32()), pa.array(found, pa.int32()), pa.array(radius, pa.float64()), pa.array(n, pa.int64())], ["label", "dim", "cell", "radius", "n"])
 
     return cells
 
 
+_UNITS = "label long, dim int, first long, second long, side int, id long, weight long, key binary, v binary"
+
+
 def _dealt(shared, limit: float):
-    """Each vector to the units it is needed in: (label, dim, cell and chunk, cell and chunk); side 0 is the first of both."""
+    """Each vector to the units it is needed in: first and second are numbers of chunks, side 0 is the first of them."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
+        tops = shared.value
         for batch in batches:
-            ids, raw, weight = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            raw, ids = batch.column(2).to_pylist(), batch.column(3).to_numpy()
             for key, at in _by_group(batch):
-                radius, chunks = top.radius[key], top.chunks[key]
-                cell, d = _nearest(_unit([raw[i] for i in at]), top.centres[key])
-                own = d[np.arange(len(at)), cell]
-                # what lies within the limit of x in another cell is within its radius, and nearer to its centre than to x's
-                reach = (d <= radius + limit + EPS) & (d <= own[:, None] + 2 * limit + EPS)
-                out: list[tuple] = []
-                for r, i in enumerate(at):
-                    a = int(cell[r])
-                    p = hash((ids[i], 5)) % int(chunks[a])
-                    for b in np.flatnonzero(reach[r]).tolist():
-                        for q in range(int(chunks[b])):
-                            first, second = sorted(((a, p), (b, q)))
-                            out.append((key[0], key[1], *first, *second, int((a, p) != first), ids[i], weight[i], raw[i]))
-                names = ["label", "dim", "cell_a", "chunk_a", "cell_b", "chunk_b", "side", "id", "weight", "v"]
-                kinds = [pa.int64(), *[pa.int32()] * 6, pa.int64(), pa.int64(), pa.binary()]
-                for s in range(0, len(out), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out[s : s + 4096]], t) for c, t in enumerate(kinds)], names)
+                top = tops[key]
+                starts = np.concatenate([[0], np.cumsum(top.chunks)])  # chunks are numbered through all cells
+                d = _apart(_unit([raw[i] for i in at]), top.centres)
+                cell = d.argmin(axis=1)
+                random = splitmix(ids[at].astype(np.int64).view(np.uint64))
+                own = starts[cell] + (random % top.chunks[cell].astype(np.uint64)).astype(np.int64)
+                row, other = np.nonzero(top.reached(d, cell, limit))
+                times = top.chunks[other]
+                row = np.repeat(row, times)
+                chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[other], times)
+                for s in range(0, len(row), 4096):
+                    r, c = row[s : s + 4096], chunk[s : s + 4096]
+                    first, second = np.minimum(own[r], c), np.maximum(own[r], c)
+                    taken = batch.take(pa.array(at[r]))
+                    yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(first), pa.array(second), pa.array((own[r] > c).astype(np.int32)), taken.column(3), taken.column(4), taken.column(5), taken.column(2)], ["label", "dim", "first", "second", "side", "id", "weight", "key", "v"])
 
     return dealt
 
 
 def _compared(cosine: float):
-    def compared(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.sort_values(["side", "id"], kind="stable")
-        x, ids, side = _unit(unit["v"].tolist()), unit["id"].to_numpy(), unit["side"].to_numpy()
-        links = Links(len(unit), unit["weight"].to_numpy())
-        one = (unit["cell_a"].iloc[0], unit["chunk_a"].iloc[0]) == (unit["cell_b"].iloc[0], unit["chunk_b"].iloc[0])
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if one:
-            tree = cover_tree(x, first)
-            dual_traversal(x, tree, tree, cosine, links)
-        elif len(first) and len(second):
-            dual_traversal(x, cover_tree(x, first), cover_tree(x, second), cosine, links)
-        some = np.flatnonzero(links.count)
-        counts = pd.DataFrame({"a": ids[some], "b": ids[some], "n": links.count[some]})
-        edges = np.array(links.edges, dtype=np.int64).reshape(-1, 2)
-        return pd.concat([counts, pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]], "n": np.zeros(len(edges), dtype=np.int64)})])
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (label, dim, first, second), unit in frame.groupby(["label", "dim", "first", "second"], sort=False):
+            unit = unit.sort_values(["side", "key"], kind="stable")
+            x, ids, side, keys = _unit(unit["v"].tolist()), unit["id"].to_numpy(), unit["side"].to_numpy(), unit["key"].to_numpy()
+            links = Links(len(unit), unit["weight"].to_numpy())
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if first == second:
+                tree = cover_tree(x, a)
+                dual_traversal(x, tree, tree, cosine, links)
+            elif len(a) and len(b):
+                dual_traversal(x, cover_tree(x, a), cover_tree(x, b), cosine, links)
+            some = np.flatnonzero(links.count)
+            edges = np.array(links.edges, dtype=np.int64).reshape(-1, 2)
+            out.append(pd.DataFrame({"label": label, "dim": dim, "key": keys[some], "n": links.count[some], "a": 0, "b": 0}))
+            out.append(pd.DataFrame({"label": label, "dim": dim, "key": b"", "n": 0, "a": ids[edges[:, 0]], "b": ids[edges[:, 1]]}))
+        return pd.concat(out)
 
     return compared
 
 
-def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", chunk: int = CHUNK, most_centres: int = CENTRES) -> DataFrame:
+def _top_trees(reps: DataFrame, large: DataFrame, limit: float, most_centres: int) -> dict[tuple[int, int], Top]:
+    """The top tree of each large group; ``large``: (label, dim, n, cells, chunk), with at most ``most_centres`` cells in all."""
+    spark = reps.sparkSession
+    random = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sampled = reps.join(large, ["label", "dim"]).where(random < F.col("cells") / F.col("n")).select("label", "dim", "v")
+    found: dict[tuple[int, int], list[bytes]] = {}
+    for r in sampled.limit(2 * most_centres).collect():  # any centres will do; the limit holds whatever the hashes are
+        found.setdefault((r["label"], r["dim"]), []).append(bytes(r["v"]))
+    tops = {k: Top(_unit(sorted(x))) for k, x in found.items()}
+    if not tops:
+        return tops
+    shared = spark.sparkContext.broadcast(tops)
+    keys = spark.createDataFrame(list(tops), "label long, dim int")
+    members = reps.join(keys, ["label", "dim"], "left_semi").select("label", "dim", "v")
+    cells = members.mapInArrow(_cells(shared), "label long, dim int, cell int, radius double, n long").groupBy("label", "dim", "cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"))
+    rows_of = {(r["label"], r["dim"]): r["chunk"] for r in large.join(keys, ["label", "dim"], "left_semi").collect()}
+    for r in cells.collect():  # a row a centre
+        top = tops[r["label"], r["dim"]]
+        top.radius[r["cell"]], top.chunks[r["cell"]] = r["radius"], -(-r["n"] // rows_of[r["label"], r["dim"]])
+    shared.unpersist()
+    for top in tops.values():
+        top.prune(limit)
+    return tops
+
+
+def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", chunk: int | None = None, most_centres: int = CENTRES) -> DataFrame:
     """One row per input row: id_col, n_links (long), component_id (long), kept (boolean).
 
     Two rows are linked if their labels are equal and not null and their vectors' cosine, in double precision,
-    reaches the threshold.
+    reaches the threshold. ``chunk`` is the number of vectors in a chunk (default: as many as ``CHUNK_BYTES`` hold).
 
     * A vector that is null, empty, zero or holds a null or non-finite component is linked with nothing, and so are vectors
       of different lengths and rows without label. Such a row is its own component.
     * Equal vectors of one label are linked with one another (each row counts). component_id is the least id reachable.
-    * A null id is linked with nothing, and its component is null; kept is true there. Ids are taken to be unique.
+    * Rows that share an id share its component; each has the links of its own vector. A null id is linked with nothing, its
+      component is null, and kept is true there.
     * Only the named columns are read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     limit = (2 - 2 * cosine) ** 0.5
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
     valid = stored(rows.mapInArrow(_valid, _VALID), "vectors")
-    reps = stored(valid.groupBy("label", "dim", "v", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).select("label", "dim", "id", "v", "weight", "key"), "distinct-vectors")
+    same = ["label", "dim", "key"]
+    reps = valid.where("key is not null").groupBy(*same, "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    reps = stored(reps.select("label", "dim", "v", "id", "weight", "key"), "distinct-vectors")
 
-    # centres: of each label in proportion to its vectors, by hash; the sample is bounded by most_centres
-    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    in_chunk = F.greatest(F.lit(1), F.floor(F.lit(CHUNK_BYTES) / (8 * F.col("dim")))) if chunk is None else F.lit(chunk)
+    sizes = stored(reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunk", in_chunk.cast("long")), "label-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    share = F.greatest(F.ceil(F.col("n") * F.lit(min(1 / chunk, most_centres / max(1, total)))), F.lit(1))
-    hashed = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    first_of = reps.groupBy("label", "dim").agg(F.min("id").alias("id"))
-    sampled = reps.join(sizes, ["label", "dim"]).where(hashed < share / F.col("n")).select("label", "dim", "id", "v")
-    picked = sampled.unionByName(reps.join(first_of, ["label", "dim", "id"], "left_semi").select("label", "dim", "id", "v"))
-    centres: dict[tuple[int, int], dict[int, bytes]] = {}
-    for r in picked.collect():
-        centres.setdefault((r["label"], r["dim"]), {})[r["id"]] = bytes(r["v"])
-    top = Top({k: _unit([c[i] for i in sorted(c)]) for k, c in centres.items()})
-
-    columns = reps.select("label", "dim", "id", "v", "weight")
-    shared = spark.sparkContext.broadcast(top)
-    cells = columns.mapInArrow(_cells(shared), "label long, dim int, cell int, radius double, n long").groupBy("label", "dim", "cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"))
-    known = Top(top.centres)
-    for r in cells.collect():  # a row a centre
-        known.radius[r["label"], r["dim"]][r["cell"]] = r["radius"]
-        known.chunks[r["label"], r["dim"]][r["cell"]] = -(-r["n"] // chunk)
-    units = columns.mapInArrow(_dealt(spark.sparkContext.broadcast(known), limit), "label long, dim int, cell_a int, chunk_a int, cell_b int, chunk_b int, side int, id long, weight long, v binary")
-    found = units.groupBy("label", "dim", "cell_a", "chunk_a", "cell_b", "chunk_b").applyInPandas(_compared(cosine), "a long, b long, n long")
+    # a label gets a cell for each chunk, or for more of its vectors if all labels together would get too many
+    cell = F.greatest(F.col("chunk"), F.lit(-(-2 * total // most_centres)))
+    large = sizes.where(F.col("n") > cell).withColumn("cells", F.ceil(F.col("n") / cell))
+    tops = _top_trees(reps, large, limit, most_centres)
+
+    keys = spark.createDataFrame(list(tops), "label long, dim int")
+    treed = reps.join(keys, ["label", "dim"], "left_semi").select("label", "dim", "v", "id", "weight", "key")
+    units = treed.mapInArrow(_dealt(spark.sparkContext.broadcast(tops), limit), _UNITS) if tops else spark.createDataFrame([], _UNITS)
+    # the other labels: pairs of chunks, most often one chunk; several small labels share a task
+    others = reps.join(sizes.join(keys, ["label", "dim"], "left_anti"), ["label", "dim"]).withColumn("chunks", F.ceil(F.col("n") / F.col("chunk")))
+    p = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    paired = others.select("label", "dim", p.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("q"), "id", "weight", "key", "v", "n", "chunk")
+    paired = paired.select("label", "dim", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "weight", "key", "v", (F.col("n") * 8 < F.col("chunk")).alias("small"))
+    tasks = max(1, total // 4096)
+    task = F.when(F.col("small"), F.pmod(F.xxhash64("label", "dim"), F.lit(tasks))).otherwise(F.xxhash64("label", "dim", "first", "second"))
+    units = units.withColumn("small", F.lit(False)).unionByName(paired).withColumn("task", task)
+    found = units.groupBy("task", "small").applyInPandas(_compared(cosine), "label long, dim int, key binary, n long, a long, b long")
     found = stored(found, "vector-links")
 
-    counts = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    of = connected_components(found.where("n = 0"), "a", "b")
-    known_reps = reps.select("label", "dim", "key", "id", "weight").join(counts, "id", "left").join(of, "id", "left")
-    of_reps = stored(known_reps.select("label", "dim", "key", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-components")
-    of_rows = valid.select("id", "label", "dim", "key").join(of_reps, ["label", "dim", "key"]).select("id", "n_links", "component")
-    out = rows.select("id").join(of_rows, "id", "left")
+    counts = found.where("n > 0").groupBy(*same).agg(F.sum("n").alias("others"))
+    of_reps = reps.select(*same, "id", "weight").join(counts, same, "left")
+    # an id with several vectors is one vertex: it is tied to what stands for each of them
+    several = stored(valid.where("key is not null").groupBy("id").agg(F.min(F.struct(*same)).alias("low"), F.max(F.struct(*same)).alias("high")).where("low != high").select("id"), "several")
+    ties = valid.join(several, "id", "left_semi").join(reps.select(*same, F.col("id").alias("rep")), same).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    of = connected_components(found.where("n = 0").select("a", "b").union(ties), "a", "b")
+    of_reps = of_reps.join(of, "id", "left")
+    of_reps = stored(of_reps.select(*same, (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-components")
+    out = valid.select("id", *same).join(of_reps, same, "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
