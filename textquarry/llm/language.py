@@ -1,12 +1,15 @@
 """Language identification in two levels: the language's family first, then the language within it.
 
-Features are frequencies of hashed pairs and triples of bytes (A-Z as a-z) of the whole text. On each level
-every two classes have a linear support vector machine; a class's share is the mean of its calibrated
-probabilities against the others of its level, and the largest share wins. A family of one language needs
-no second level. The score is the product of the winner's shares.
-
-Machines are fitted on at most ``FIT_ROWS`` rows of each language (by hash of the id, so the sample doesn't
-depend on partitioning). Their size is fixed by ``WIDTH`` and the number of languages.
+Features are frequencies of hashed pairs and triples of bytes (A-Z as a-z) of the whole text. On the first level each
+family has a linear support vector machine against the others (two families share one). Within a family every two
+languages have one; a language's share is the mean of its calibrated probabilities against the others, and the largest
+share wins (of equal ones the first by name). A family of one language needs no second level. The score is the product
+of the winner's shares.
+
+Codes that ``FAMILIES`` doesn't list join the family whose mean features are nearest, if that is near (``NEAR``), else found
+one; so a family that isn't listed has ``GROUP`` languages at most, and the number of machines grows with that of languages, not
+with its square. All languages are learnt. Machines are fitted on at most ``FIT_ROWS`` rows of each language and about ``FIT_TOTAL`` in
+all (by hash of the id, so the sample doesn't depend on partitioning), one at least of each. Their size is fixed by ``WIDTH``.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BLOCK, LOWER, texts_of
+from .scratch import stored, unused_name
 from .svm import fit_hinge, fit_sigmoid, sigmoid
 
-#: Rows of a language that are learnt from, at most; and languages, the most frequent ones.
+#: Rows that are learnt from, at most: of a language; and of all languages, but for one row of each.
 FIT_ROWS = 700
-LANGUAGES = 200
+FIT_TOTAL = 20_000
+#: Languages that a family may get beside the listed ones, and the cosine of mean features from which a language is near a family.
+GROUP = 6
+NEAR = 0.75
 BITS = 16
 WIDTH = 1 << BITS
 #: Frequencies are multiplied by it, which brings rows near unit length.
@@ -33,7 +40,7 @@ SCALE = 20.0
 COST = 10.0
 UNKNOWN = "und"
 
-# Families of language codes. A code that isn't listed is a family of its own.
+# Families of language codes.
 FAMILIES = {
     "germanic": ["de", "en", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
     "romance": ["es", "fr", "it", "pt", "ro", "ca", "gl", "oc"],
@@ -42,8 +49,25 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 
-def family_of(lang: str) -> str:
-    return _FAMILY.get(lang.lower().replace("_", "-").split("-")[0], f"={lang}")
+def listed_family(lang: str) -> str | None:
+    return _FAMILY.get(lang.lower().replace("_", "-").split("-")[0])
+
+
+def families_of(means: dict[str, np.ndarray]) -> dict[str, str]:
+    """The family of each language, from its code or else from its mean features."""
+    out = {x: f for x in means if (f := listed_family(x))}
+    sums: dict[str, np.ndarray] = {}
+    for x, f in sorted(out.items()):
+        sums[f] = sums.get(f, 0.0) + means[x]
+    room = dict.fromkeys(sums, GROUP)
+    for x in sorted(set(means) - set(out)):
+        near = {f: float(means[x] @ v) / max(1e-12, float(np.linalg.norm(means[x]) * np.linalg.norm(v))) for f, v in sums.items() if room[f]}
+        best = min(near, key=lambda f: (-near[f], f), default=None)
+        if best is None or near[best] < NEAR:
+            best = f"={x}"
+            sums[best], room[best] = 0.0, GROUP
+        out[x], sums[best], room[best] = best, sums[best] + means[x], room[best] - 1
+    return out
 
 
 def _blocks(text: np.ndarray) -> Iterator[np.ndarray]:
@@ -79,56 +103,86 @@ def frequencies(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (total[at] * (SCALE / max(1, total.sum()))).astype(np.float32)
 
 
-def margins(text: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """A margin for each row of weights (machines x WIDTH), without its bias."""
-    sums, n = np.zeros(len(weights)), 0
+def _all_columns(text: np.ndarray) -> Iterator[np.ndarray]:
+    """The columns of a text's pairs and triples, block by block."""
     if len(text) >= 2:
         for block in _blocks(text):
             pairs, triples = _columns(block)
-            pairs = pairs[: max(1, len(block) - 2)]
-            n += len(pairs) + len(triples)
-            for i, w in enumerate(weights):
-                sums[i] += w[pairs].sum(dtype=np.float64) + w[triples].sum(dtype=np.float64)
+            yield np.concatenate([pairs[: max(1, len(block) - 2)], triples])
+
+
+def margins(columns, weights: np.ndarray, machines: list[int]) -> np.ndarray:
+    """A margin for each of some rows of weights (machines x WIDTH), without its bias; ``columns`` gives arrays of columns."""
+    sums, n = np.zeros(len(machines)), 0
+    for some in columns:
+        n += len(some)
+        for i, k in enumerate(machines):
+            sums[i] += weights[k][some].sum(dtype=np.float64)
     return sums * (SCALE / max(1, n))
 
 
 class LanguageModel:
-    """Levels: the families, then the languages of each family with several. A level is a list of its classes."""
+    """Machines of the families, and of every two languages of each family with several."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> None:
         self.languages = sorted(set(langs))
-        families = sorted({family_of(x) for x in self.languages})
-        self.within = {f: [x for x in self.languages if family_of(x) == f] for f in families}
-        self.families = families
-        self.machines: dict[tuple[str, str, str], int] = {}
+        means = {x: np.zeros(WIDTH) for x in self.languages}  # up to a factor, which a cosine doesn't see
+        for (columns, values), x in zip(rows, langs, strict=True):
+            means[x][columns] += values
+        family = families_of(means)
+        self.families = sorted(set(family.values()))
+        self.within = {f: [x for x in self.languages if family[x] == f] for f in self.families}
+        self.machines: dict[tuple[str, str], int] = {}
         weights, self.bias = [], []
         names = np.array(langs, dtype=object)
-        groups = np.array([family_of(x) for x in langs], dtype=object)
-        for level, classes, of in [("", families, groups), *((f, self.within[f], names) for f in families)]:
-            for one, other in combinations(classes, 2):
-                at = np.flatnonzero((of == one) | (of == other))
-                w, a, b = _machine([rows[i] for i in at], of[at] == one)
-                self.machines[level, one, other] = len(weights)
-                weights.append((w * a).astype(np.float32))
-                self.bias.append(b)
+        groups = np.array([family[x] for x in langs], dtype=object)
+
+        def learn(key: tuple[str, str], at: np.ndarray, positive: np.ndarray) -> None:
+            w, a, b = _machine([rows[i] for i in at], positive)
+            self.machines[key] = len(weights)
+            weights.append((w * a).astype(np.float32))
+            self.bias.append(b)
+
+        for f in self.families[: 1 if len(self.families) == 2 else len(self.families) if len(self.families) > 2 else 0]:
+            learn(("", f), np.arange(len(rows)), groups == f)
+        for f in self.families:
+            for one, other in combinations(self.within[f], 2):
+                at = np.flatnonzero((names == one) | (names == other))
+                learn((one, other), at, names[at] == one)
         self.weights = np.array(weights, dtype=np.float32).reshape(-1, WIDTH)
 
-    def _best(self, level: str, classes: list[str], margin: np.ndarray) -> tuple[str, float]:
-        share = dict.fromkeys(classes, 0.0)
-        for one, other in combinations(classes, 2):
-            i = self.machines[level, one, other]
-            p = float(sigmoid(margin[i] + self.bias[i]))
+    def _probabilities(self, keys: list[tuple[str, str]], columns) -> np.ndarray:
+        at = [self.machines[k] for k in keys]
+        return sigmoid(margins(columns(), self.weights, at) + np.array([self.bias[i] for i in at]))
+
+    def _family(self, columns) -> tuple[str, float]:
+        names = self.families
+        if len(names) < 3:
+            share = [1.0] if len(names) == 1 else [p := float(self._probabilities([("", names[0])], columns)[0]), 1 - p]
+        else:
+            share = self._probabilities([("", f) for f in names], columns)
+            share = share / max(1e-300, share.sum())
+        best = int(np.argmax(share))  # the first by name of equal ones
+        return names[best], float(share[best])
+
+    def _language(self, names: list[str], columns) -> tuple[str, float]:
+        if len(names) == 1:
+            return names[0], 1.0
+        pairs = list(combinations(names, 2))
+        share = dict.fromkeys(names, 0.0)
+        for (one, other), p in zip(pairs, self._probabilities(pairs, columns).tolist(), strict=True):
             share[one] += p
             share[other] += 1 - p
-        best = min(classes, key=lambda c: (-share[c], c))
-        return best, share[best] / max(1, len(classes) - 1) if len(classes) > 1 else 1.0
+        best = min(names, key=lambda c: (-share[c], c))
+        return best, share[best] / (len(names) - 1)
 
     def predict(self, text: np.ndarray) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        margin = margins(text, self.weights)
-        family, p = self._best("", self.families, margin)
-        lang, q = self._best(family, self.within[family], margin)
+        once = list(_all_columns(text)) if len(text) <= BLOCK else None  # columns of a long text are made again for each level
+        columns = lambda: once if once is not None else _all_columns(text)
+        family, p = self._family(columns)
+        lang, q = self._language(self.within[family], columns)
         return lang, p * q
 
 
@@ -158,15 +212,15 @@ def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary()), batch.column(1)], ["columns", "values", "lang"])
 
 
-def train(docs: DataFrame, learn_from: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, learn_from: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_total: int = FIT_TOTAL) -> LanguageModel:
     """A model of the rows with a text and a language whose id meets ``learn_from`` (a condition on a column ``id``)."""
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null").where(learn_from)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a row a language
+    fit_rows = max(1, min(fit_rows, fit_total // max(1, counts.count())))
     # rows are picked by a hash that is uniform, about fit_rows of each language; the rest over fit_rows is cut off below
-    slots, share = 1 << 40, F.lit(0).cast("long")
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(slots, -(-slots * fit_rows // r["n"])))).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(slots)) < share)
+    slots, hashed = 1 << 40, F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 40))
+    share = F.least(F.lit(slots), F.ceil(F.lit(float(slots) * fit_rows) / F.col("n")))
+    picked = known.join(counts, "lang").where(hashed < share)
     found = picked.select("text", "lang").mapInArrow(_frequency_rows, "columns binary, values binary, lang string").collect()
     found.sort(key=lambda r: (r["lang"], zlib.crc32(r["columns"]), zlib.crc32(r["values"])))  # the same order however the rows arrive
     kept: dict[str, int] = {}
@@ -190,7 +244,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], [*names, "lang_pred", "score"])
 
     fields = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(predicted, fields)
+    return docs.select(*names, F.col(text_col).alias(unused_name(docs, "text"))).mapInArrow(predicted, fields)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -200,7 +254,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sources and languages are no inputs of a prediction.
 
     * lang_pred is a language learnt, or ``und`` (score 0) for a null text, a text without letters, or if nothing was learnt.
-    * A null id is not held out, and never learnt from. Very long texts are read in blocks.
+    * A null id is not held out, and never learnt from. Very long texts are read whole, in blocks. Repeated rows are learnt from, and
+      predicted, as often as they occur; of languages with equal shares the first by name wins.
     * Other columns stay; columns of these three names are replaced.
     """
     remainder = lambda c: F.crc32(c.cast("string").cast("binary")) % 4
