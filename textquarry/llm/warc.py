@@ -36,6 +36,8 @@ LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Neighbouring records are fetched in one read of about this size.
 READ_BYTES = 4 << 20
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -327,7 +329,11 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
         if source is not None:
             source.close()
 
-    place = archives.select("path").repartition(F.col("path")).mapInArrow(places, "path string, offset long, length long")
+    # numbers of tasks are given, since narrow rows that stand for many bytes would else be merged into few
+    sized = archives.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes") if "bytes" in archives.columns else F.lit(None).cast("long").alias("bytes")).first()
+    many = archives.sparkSession.sparkContext.defaultParallelism
+    tasks = max(many, -(-(sized["bytes"] or sized["n"] * ARCHIVE_BYTES) // TASK_BYTES))
+    place = archives.select("path").repartition(max(1, min(sized["n"], 4 * many)), "path").mapInArrow(places, "path string, offset long, length long")
     # neighbouring records go to one task, an archive's runs of READ_BYTES to many
-    dealt = place.repartition("path", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("path", "offset")
+    dealt = place.repartition(tasks, "path", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(records, _FIELDS + (", payload binary" if with_payload else ""))
