@@ -45,6 +45,9 @@ ALLOW = [
     r"(?i:abcdefgh|01234567|12345678)",
     r"^[A-Za-z]{2,}([/_=-]+([A-Za-z]{2,}|[0-9]{1,4}))+$",
 ]
+#: How the JVM is to match the last rule: a repeated group takes stack for every repetition unless it is possessive. Signs,
+#: letters and digits can't stand for each other, so giving nothing back changes no match.
+POSSESSIVE = {ALLOW[-1]: r"^[A-Za-z]{2,}(?:[/_=-]+(?:[A-Za-z]{2,}|[0-9]{1,4}))++$"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Sums of c * log2(c) are kept in whole millionths, so that sums don't depend on the order of addition.
 UNIT = 1_000_000
@@ -121,7 +124,7 @@ def entropy_spans(text: Column, kind: str) -> Column:
     def high(whole: Column, _: Column) -> Column:
         allowed = F.lit(False)
         for rule in ALLOW:
-            allowed = allowed | whole.rlike(rule)
+            allowed = allowed | whole.rlike(POSSESSIVE.get(rule, rule))
         return F.when(allowed, F.lit(False)).otherwise(least_window_weight(whole) <= most_weight(bits))
 
     return _fold(text, pattern, (high, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
@@ -134,7 +137,7 @@ def _labelled(spans: Column, no: int, kind: str) -> Column:
 def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Adds ``out``: array<struct<start,end,kind>> by start, then kind in the order of BASE and CLASSES.
 
-    A null text has no spans, like an empty one. A span of an entropy class is added even where it
+    A null text has no spans, like an empty one; texts and candidates of any length are taken whole. A span of an entropy class is added even where it
     overlaps one of a fixed pattern. All columns stay; one named ``out`` is replaced.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
