@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import drop_path, new_path
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,11 +39,20 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
     Loops and repeated edges are allowed; ids are of any ordered type, not null.
     """
-    now = stored(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct(), "edges")
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = new_path(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    now, path = written(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v").distinct())
     state = _state(now)
     while state[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
+        last = path
+        now, path = written(_small_star(_large_star(now)))
         before, state = state, _state(now)
+        drop_path(spark, last)  # nothing reads it any more
         if state == before:
             break
     members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -32,7 +32,7 @@ FIT_ROWS = 700
 FIT_TOTAL = 20_000
 #: Languages that a family may get beside the listed ones, and the cosine of mean features from which a language is near a family.
 GROUP = 6
-NEAR = 0.75
+NEAR = 0.5
 BITS = 16
 WIDTH = 1 << BITS
 #: Frequencies are multiplied by it, which brings rows near unit length.

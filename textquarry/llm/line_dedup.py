@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, unused_name
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -54,16 +54,17 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
       all go becomes empty. Rows are never dropped.
     * A null text stays null, with 0 lines; an empty text has one (blank) line.
     * A null host is a host of its own. Repeated rows count as pages of their own.
-    * Other columns stay; columns named n_lines or n_dropped are replaced.
+    * Texts of any length are taken whole. Other columns stay, whatever their names; n_lines and n_dropped are replaced.
     """
     host = F.when(docs[host_col].isNull(), "n").otherwise(F.concat(F.lit("h"), docs[host_col].cast("string")))
-    lists = boilerplate_lines(docs, host, text_col, max_ratio, min_pages).groupBy("host").agg(F.collect_list("line_hash").alias("__drop"))
-    lists = stored(lists.withColumnRenamed("host", "__host"), "boilerplate")
-    tagged = docs.drop("n_lines", "n_dropped").withColumn("__host", host).join(lists, "__host", "left")
+    of, drop, left = (unused_name(docs, x) for x in ("host", "drop", "left"))
+    lists = boilerplate_lines(docs, host, text_col, max_ratio, min_pages).groupBy("host").agg(F.collect_list("line_hash").alias(drop))
+    lists = stored(lists.withColumnRenamed("host", of), "boilerplate")
+    tagged = docs.drop("n_lines", "n_dropped").withColumn(of, host).join(lists, of, "left")
     lines = _lines(F.col(text_col))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), _hash(x)), F.lit(False))))
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(drop), _hash(x)), F.lit(False))))
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    tagged = tagged.withColumn("__kept", kept).withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n))
-    left = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
-    out = tagged.withColumn("n_dropped", F.col("n_lines") - left).withColumn(text_col, F.array_join("__kept", "\n"))
+    tagged = tagged.withColumn(left, kept).withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n))
+    n_left = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(left)).cast("long")
+    out = tagged.withColumn("n_dropped", F.col("n_lines") - n_left).withColumn(text_col, F.array_join(left, "\n"))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Texts are linked if 100 * common shingles >= percent * all shingles of both; words are runs of
     anything but ASCII white space, A-Z as a-z; a text of fewer than k words is one shingle.
 
-    * Null, empty and blank texts have no shingle and are linked with nothing.
+    * Null, empty and blank texts have no shingle and are linked with nothing. Texts of any length are read whole, in blocks.
     * component_id is the least id reachable by links; kept marks the rows that have it as their id.
     * Rows that share an id share its component. A row without id is linked with nothing: its
       component is null, and it is kept.

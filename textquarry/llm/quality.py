@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE, U, blocks, span_hashes, splitmix, texts_of, word_bounds
+from .scratch import unused_name
 from .svm import fit_hinge, fit_sigmoid, sigmoid
 
 #: Labelled rows a model is fitted on, at most.
@@ -145,7 +146,7 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sigmoid(a * margin + b), pa.float64())], [*names, out])
 
     fields = docs.select(*names).schema.add(out, "double")
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(scored, fields)
+    return docs.select(*names, F.col(text_col).alias(unused_name(docs, "text"))).mapInArrow(scored, fields)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -15,12 +15,15 @@ _FOLDER = f"textquarry-{uuid.uuid4().hex[:12]}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset and all executors are threads of the driver, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='textquarry-')}"
         spark.sparkContext.setCheckpointDir(where)
     return f"{where.rstrip('/')}/{_FOLDER}"
@@ -30,15 +33,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once to the shared folder and read from there."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df``, written once to the shared folder and read from there; a folder for each value of ``by``, its last column, if named."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes one folder, if it exists."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tables(spark: SparkSession) -> set[str]:
+    """Paths of the tables in this process's folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {str(x.getPath()) for x in files.listStatus(at)} if files.exists(at) else set()
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what :func:`stored` has written in this process; results read from it must be consumed before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, shared_dir(spark))

@@ -29,7 +29,7 @@ def proportional_shards(docs: DataFrame, shards: int = 16, seed: str = "mixture-
     * A null source is a stratum of its own; an empty source is another.
     * A null id is allowed; rows with one id and source (repeated rows) tie in random number and are
       ordered by size, then checksum; rows that are equal in these too may change places.
-    * An empty table gives an empty result. Further columns of ``docs``, whatever their names, are ignored.
+    * Texts of any length are read whole, and never moved. An empty table gives an empty result. Further columns of ``docs``, whatever their names, are ignored.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
