@@ -280,13 +280,29 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     # at most ``capacity`` rows, whatever the corpus's size
     left = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     first = dict.fromkeys(left, 0)
+    bands = _bands(list(left), capacity)
     hashed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(_buckets(max(left.values(), default=0)))).cast("int"))
     order = [F.col("id").asc_nulls_first(), "piece", "ids_crc32"]
-    rows = stored(ranked(hashed, ["length"], "bucket", order, "rank").drop("bucket"), "ranked-pieces")
-    docs = rows.select("length", "rank")
+    # a superstep reads its own band alone
+    band_of = F.lit(0)
+    for no, band in enumerate(bands):
+        band_of = F.when(F.col("length") <= band[0], F.lit(no)).otherwise(band_of)
+    rows = stored(ranked(hashed, ["length"], "bucket", order, "rank").drop("bucket").withColumn("band", band_of), "ranked-pieces", "band")
     placed = spark.createDataFrame([], "length long, rank long, sequence_id long, offset long")
     opened, state, gaps = 0, None, {}
-    for band in _bands(list(left), capacity):
+    for no, band in enumerate(bands):
+        docs = rows.where(F.col("band") == no).select("length", "rank")
+        if 2 * band[-1] > capacity:  # no two of them fit in one sequence, and nothing is open yet: each opens one
+            starts = []
+            for n in band:
+                starts.append((n, opened))
+                opened += left[n]
+                gaps[capacity - n], left[n] = left[n], 0
+            alone = docs.join(F.broadcast(spark.createDataFrame(starts, "length long, start long")), "length")
+            alone = alone.select("length", "rank", (F.col("start") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+            placed = alone
+            state = alone.select(F.col("sequence_id").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap"))
+            gaps = {g: n for g, n in gaps.items() if g >= _least(left, capacity)}
         while any(left[n] for n in band):
             band = [n for n in band if left[n]]
             unfit = [n for n in band if n > max(gaps, default=0)]
@@ -296,11 +312,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 new = -(-sum(left[n] for n in unfit) // each) if each < 4 else -(-sum(n * left[n] for n in unfit) // capacity)
             free = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
             if state is not None:
-                free = state.where(F.col("gap") >= min(n for n in left if left[n])).select("seq", "gap").union(free)
+                free = state.where(F.col("gap") >= _least(left, capacity)).select("seq", "gap").union(free)
             gaps[capacity] = gaps.get(capacity, 0) + new
             opened += new
-            among = docs.where(F.col("length").between(band[-1], band[0]))
-            step = _superstep(free, among, _Order({g: n for g, n in gaps.items() if n}, {n: left[n] for n in band}), _buckets(max(gaps.values())), first, capacity)
+            step = _superstep(free, docs, _Order({g: n for g, n in gaps.items() if n}, {n: left[n] for n in band}), _buckets(max(gaps.values())), first, capacity)
             state = stored(step, "superstep")
             placed = placed.union(state.where("length is not null").select("length", "rank", F.col("seq").alias("sequence_id"), "offset"))
             gaps = {}
@@ -310,9 +325,13 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 else:
                     left[r["length"]] -= r["n"]
                     first[r["length"]] += r["n"]
-            least = min((n for n in left if left[n]), default=capacity + 1)
-            gaps = {g: n for g, n in gaps.items() if g >= least}
-    return rows.join(placed, ["length", "rank"]).drop("rank")
+            gaps = {g: n for g, n in gaps.items() if g >= _least(left, capacity)}
+    return rows.drop("band").join(placed, ["length", "rank"]).drop("rank")
+
+
+def _least(left: dict[int, int], capacity: int) -> int:
+    """The smallest size that is left."""
+    return min((n for n in left if left[n]), default=capacity + 1)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
