@@ -13,7 +13,7 @@ def choice_mentions(docs: DataFrame, choices: list[str], id_col: str = "doc_id",
     """(doc_id, choice, ix, start, end) of every literal mention of a choice, in any case, not within a longer word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = [F.transform(literal_mentions(text, c), _with(c, i)) for i, c in enumerate(dict.fromkeys(choices))]
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(*found)).alias("x")).select("doc_id", "x.choice", "x.ix", "x.start", "x.end")
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.concat(*found)).alias("x")).where("x is not null").select("doc_id", "x.choice", "x.ix", "x.start", "x.end")
 
 
 def _with(choice: str, ix: int):

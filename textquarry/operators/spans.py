@@ -7,8 +7,13 @@ higher-order expression. A document with very many spans thus costs no more than
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..schema import OverlapPolicy
 
@@ -55,11 +60,6 @@ def nested(items: Column) -> Column:
     return _greedy(items, lambda x, y: _overlap(x, y) & ~_contains(x, y) & ~_contains(y, x))
 
 
-def longest(items: Column) -> Column:
-    """All but those that lie within a longer one."""
-    return F.filter(_ranked(items), lambda x: ~F.exists(items, lambda y: _contains(y, x) & (y["end"] - y["start"] > x["end"] - x["start"])))
-
-
 def heaviest_disjoint(items: Column) -> Column:
     """The disjoint subset with the highest total score, then the most spans, then the least sorted rank keys.
 
@@ -80,7 +80,55 @@ def heaviest_disjoint(items: Column) -> Column:
     return F.filter(_ranked(items), lambda x: F.exists(chosen, lambda k: (k["start"] == x["start"]) & (k["end"] == x["end"])))
 
 
-_RESOLVERS = {OverlapPolicy.NESTED: nested, OverlapPolicy.LONGEST: longest, OverlapPolicy.FLAT: heaviest_disjoint}
+#: Components of more spans are resolved by ``_heaviest_batches``: the expression's work grows with the cube of their number.
+FEW = 6
+
+
+def heaviest_choice(starts: list[int], ends: list[int], scores: list[float]) -> list[int]:
+    """Which of some distinct spans ``heaviest_disjoint`` keeps."""
+    order = sorted(range(len(starts)), key=lambda i: (ends[i], starts[i]))
+    by_end = [ends[i] for i in order]
+    total, count, last = [0.0], [0], [-1]  # of the first k spans: the best subset's total and count, kept negative, and its last span
+
+    def chosen(k: int) -> list[int]:
+        out = []
+        while k:
+            if last[k] == k - 1:
+                out.append(order[k - 1])
+                k = before[k - 1]
+            else:
+                k -= 1
+        return out
+
+    def keys(picked: list[int]) -> list[tuple]:
+        return sorted((-scores[i], starts[i], ends[i]) for i in picked)
+
+    before: list[int] = []
+    for k, i in enumerate(order):
+        p = bisect_right(by_end, starts[i], 0, k)
+        before.append(p)
+        taken, left = (total[p] - scores[i], count[p] - 1), (total[k], count[k])
+        take = taken < left or (taken == left and keys([*chosen(p), i]) < keys(chosen(k)))
+        total.append(taken[0] if take else left[0])
+        count.append(taken[1] if take else left[1])
+        last.append(k if take else -1)
+    return chosen(len(order))
+
+
+def _heaviest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``kept``, the places in ``items`` that stay. The work is n log n in a component, but for ties."""
+    for batch in batches:
+        items = batch.column(batch.schema.get_field_index("items"))
+        flat, kept = items.flatten(), []
+        starts, ends, scores = (flat.field(i).to_pylist() for i in range(3))
+        at = 0
+        for n in (items.value_lengths()).to_pylist():
+            kept.append(sorted(heaviest_choice(starts[at : at + n], ends[at : at + n], scores[at : at + n])))
+            at += n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], [*batch.schema.names, "kept"])
+
+
+_RESOLVERS = {OverlapPolicy.NESTED: nested, OverlapPolicy.FLAT: heaviest_disjoint}
 
 
 def resolve_overlaps(spans: DataFrame, keys: list[str], policy: OverlapPolicy | str = OverlapPolicy.FLAT, greedy: bool = False) -> DataFrame:
@@ -89,22 +137,38 @@ def resolve_overlaps(spans: DataFrame, keys: list[str], policy: OverlapPolicy |
     distinct = best_of_exact(spans, keys)
     if policy is OverlapPolicy.ALLOW and not greedy:
         return distinct
+    if policy is OverlapPolicy.LONGEST and not greedy:
+        return longest(distinct, keys)
     items = with_component(distinct, keys).groupBy(*keys, "component").agg(F.collect_list(F.struct("start", "end", "score", "text")).alias("items"))
     resolver = disjoint_greedy if greedy else _RESOLVERS[policy]
-    kept = items.select(*keys, F.explode(F.when(F.size("items") == 1, _ranked(F.col("items"))).otherwise(resolver(F.col("items")))).alias("x"))
-    return kept.select(*keys, "x.start", "x.end", "x.score", "x.text")
+    small = items
+    if resolver is heaviest_disjoint:
+        small = items.where(F.size("items") <= FEW)
+        large = items.where(F.size("items") > FEW)
+        large = large.mapInArrow(_heaviest_batches, items.schema.add("kept", ArrayType(IntegerType())))
+        large = large.select(*keys, F.explode(F.transform("kept", lambda i: F.get("items", i))).alias("x"))
+    kept = small.select(*keys, F.explode(F.when(F.size("items") == 1, _ranked(F.col("items"))).otherwise(resolver(F.col("items")))).alias("x"))
+    out = kept.select(*keys, "x.start", "x.end", "x.score", "x.text")
+    return out.unionByName(large.select(*keys, "x.start", "x.end", "x.score", "x.text")) if small is not items else out
+
+
+def longest(distinct: DataFrame, keys: list[str]) -> DataFrame:
+    """All distinct spans but those that lie within a longer one: by start, the longest first, a span lies within one before it if
+    that reaches as far."""
+    order = Window.partitionBy(*keys).orderBy("start", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return distinct.withColumn("_reach", reach).where("_reach is null or _reach < end").drop("_reach")
 
 
 def longest_by_join(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """``longest`` as an anti-join on containment, within the keys."""
-    distinct = best_of_exact(spans, keys)
-    wide = distinct.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_start"), F.col("end").alias("_end"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    inside = (F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")) & (F.col("_end") - F.col("_start") > F.col("end") - F.col("start"))
-    condition = inside
-    for c in on:
-        condition = c & condition
-    return distinct.join(wide, condition, "left_anti")
+    """``longest`` as an anti-join on containment, within the keys and a component of overlaps, which bounds the pairs compared."""
+    distinct = with_component(best_of_exact(spans, keys), keys)
+    on = [*keys, "component"]
+    wide = distinct.select(*[F.col(k).alias(f"_{k}") for k in on], F.col("start").alias("_start"), F.col("end").alias("_end"))
+    condition = (F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")) & (F.col("_end") - F.col("_start") > F.col("end") - F.col("start"))
+    for k in on:
+        condition = F.col(k).eqNullSafe(F.col(f"_{k}")) & condition
+    return distinct.join(wide, condition, "left_anti").drop("component")
 
 
 def ranked(spans: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:

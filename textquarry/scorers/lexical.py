@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..schema import ClassificationSpec, Schema, SchemaError
 from .base import register
 
@@ -20,9 +21,13 @@ def cues_of(label: str, description: str = "", examples: tuple[str, ...] = ()) -
     return list(dict.fromkeys(found))
 
 
-def cue_score(text: Column, cues: list[str]) -> Column:
-    """(1 + 62 * min(distinct cues held, STEP) / STEP) / 64 in single precision."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"))
+def word_set(text: Column) -> Column:
+    """The distinct words of a text, in small letters."""
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"))
+
+
+def cue_score(words: Column, cues: list[str]) -> Column:
+    """(1 + 62 * min(distinct cues among the words, STEP) / STEP) / 64 in single precision."""
     held = F.size(F.array_intersect(words, F.array(*[F.lit(c) for c in cues])))
     return ((1 + 62 * F.least(held, F.lit(STEP)) / STEP) / 64).cast("float")
 
@@ -48,6 +53,7 @@ class LexicalScorer:
         raise SchemaError("the lexical scorer scores labels, not spans")
 
     def labels(self, docs: DataFrame, task: str, labels: list[str]) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(i).alias("ix"), cue_score(F.col(self.text_col), self.cues[x]).alias("score")) for i, x in enumerate(labels)])
-        rows = docs.select(F.col(self.id_col).alias("doc_id"), F.lit(task).alias("task"), F.explode(each).alias("x"))
+        score = lambda words: F.array(*[F.struct(F.lit(x).alias("label"), F.lit(i).alias("ix"), cue_score(words, self.cues[x]).alias("score")) for i, x in enumerate(labels)])
+        each = let(word_set(F.col(self.text_col)), score)
+        rows = docs.select(F.col(self.id_col).alias("doc_id"), F.lit(task).alias("task"), F.explode_outer(each).alias("x"))
         return rows.select("doc_id", "task", "x.label", "x.ix", "x.score")
