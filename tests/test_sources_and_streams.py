@@ -30,17 +30,27 @@ def test_requests_are_checked_in_order(spark):
         (json.dumps(BODY | {"threshold": 1.5}), "application/json", 422, "threshold"),
         (json.dumps(BODY | {"overlap": "sideways"}), "application/json", 422, "overlap"),
         (json.dumps({"text": "t"}), "application/json", 422, "schema"),
-        (json.dumps({"text": "t", "classify": ["oops"]}), "application/json", 422, "classify"),
-        (json.dumps(BODY | {"bogus": 1}), "application/json", 422, None),
-        ("{nope", "application/json", 422, None),
-        (json.dumps(BODY), "text/plain", 415, None),
-        (json.dumps({"text": "x" * (2 << 20), "entities": ["a"]}), "application/json", 413, None),
+        (json.dumps({"text": "t", "classify": ["oops"]}), "application/json", 422, "schema"),
+        (json.dumps({"text": "t", "relations": ["r"]}), "application/json", 422, "schema"),
+        (json.dumps(BODY | {"bogus": 1}), "application/json", 422, "body"),
+        ("{nope", "application/json", 422, "body"),
+        (json.dumps(BODY), "text/plain", 422, "Content-Type"),
+        (json.dumps({"text": "x" * (2 << 20), "entities": ["a"]}), "application/json", 422, "body"),
+        (json.dumps(BODY), "application/vnd.api+json; charset=utf-8", 200, None),
+        (json.dumps(BODY), "application/jsonfoo", 422, "Content-Type"),
+        *[(json.dumps(BODY | change), "application/json", 422, "body") for change in ({"text": 5}, {"text": None}, {"threshold": "high"}, {"threshold": None}, {"entities": [1]}, {"entities": None}, {"entities": ["a", None]}, {"entities": "a"}, {"spans": 1}, {"max_words": -1}, {"max_words": 1.5}, {"model": 3})],
+        *[(json.dumps(BODY | change), "application/json", 200, None) for change in ({"model": None, "overlap": None, "max_words": None}, {"threshold": 1}, {"threshold": 0}, {"max_words": 7}, {"relations": []}, {"overlap": "Keep-Longest"})],
+        (json.dumps({k: v for k, v in BODY.items() if k != "text"}), "application/json", 422, "body"),
+        ("[1]", "application/json", 422, "body"),
     ]
     df = spark.createDataFrame([(i, b, t) for i, (b, t, *_) in enumerate(cases)], "doc_id long, body string, content_type string")
-    out = {r["doc_id"]: r for r in readers.validated_requests(df, models=["multi"]).collect()}
+    out = {r["doc_id"]: r for r in readers.validated_requests(df, models=["multi"], supports=["entities", "classify"]).collect()}
     for i, (_, _, status, param) in enumerate(cases):
-        assert out[i]["status"] == status, i
-        assert (out[i]["error"]["param"] if out[i]["error"] else None) == param, i
+        assert out[i]["status"] == status, cases[i]
+        assert (out[i]["error"]["param"] if out[i]["error"] else None) == param, cases[i]
+        assert status == 200 or (out[i]["error"]["code"], out[i]["error"]["type"]) == (422, "invalid_request_error")
+    hints = {"model": "Loaded model is 'multi'", "text": "must not be empty", "threshold": "between 0 and 1", "overlap": "unknown overlap_policy", "Content-Type": "application/json"}
+    assert all(hints[r["error"]["param"]] in r["error"]["message"] for r in out.values() if r["error"] and r["error"]["param"] in hints)
 
 
 def test_checkpoints_are_picked():

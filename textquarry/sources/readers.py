@@ -10,6 +10,7 @@ from ..schema import SchemaError
 # Limits and fields of a request.
 BODY_BYTES = 1 << 20
 REQUEST = "model string, text string, entities array<string>, relations array<string>, json array<string>, classify array<string>, legacy_structures boolean, threshold double, spans boolean, confidence boolean, overlap string, max_words int"
+LISTS = ["entities", "relations", "json", "classify"]
 OVERLAPS = ["allow", "all", "none", "nested", "allow_nested", "flat", "disallow", "no_overlap", "non_overlapping", "longest", "keep_longest"]
 
 
@@ -50,42 +51,60 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
 
 
-def _first_problem(problems: list[tuple[Column, int, str, str]]) -> Column:
-    none = F.lit(None).cast("struct<status:int,message:string,type:string,code:string,param:string>")
-    out = none
-    for bad, status, param, message in reversed(problems):
-        kind = "invalid_request_error"
-        error = F.struct(F.lit(status).alias("status"), F.lit(message).alias("message"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("code"), F.lit(param or None).cast("string").alias("param"))
+def _first_problem(problems: list[tuple[Column, str, str]]) -> Column:
+    out = F.lit(None).cast("struct<message:string,type:string,code:int,param:string>")
+    for bad, param, message in reversed(problems):
+        error = F.struct(F.lit(message).alias("message"), F.lit("invalid_request_error").alias("type"), F.lit(422).alias("code"), F.lit(param).alias("param"))
         out = F.when(bad, error).otherwise(out)
     return out
 
 
-def validated_requests(requests: DataFrame, body_col: str = "body", type_col: str = "content_type", models: list[str] | None = None) -> DataFrame:
-    """Adds ``request`` (parsed), ``status`` (200, or what is wrong first) and ``error``. The order of checks is: size, content
-    type, JSON, fields, model, blank text, threshold, overlap, schema."""
+def _wrong_types(body: Column) -> Column:
+    """Whether some field of a JSON object (a variant) has a type that the request's field can't have."""
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(body, f"$.{f}", "variant"))  # noqa: E731  null if absent, VOID if null
+    lists = [F.try_variant_get(body, f"$.{f}", "array<string>") for f in LISTS]
+    strings = lambda f, v: kind(f).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(v, lambda x: x.isNull())
+    number = kind("threshold").isin("BIGINT", "DOUBLE", "FLOAT") | kind("threshold").startswith("DECIMAL")
+    whole = (kind("max_words") == "BIGINT") & (F.try_variant_get(body, "$.max_words", "long") >= 0)
+    wrong = F.coalesce(kind("text") != "STRING", F.lit(True))
+    for bad in [
+        *[~kind(f).isin("STRING", "VOID") for f in ("model", "overlap")], *[~F.coalesce(strings(f, v), F.lit(False)) & kind(f).isNotNull() for f, v in zip(LISTS, lists, strict=True)],
+        *[kind(f) != "BOOLEAN" for f in ("legacy_structures", "spans", "confidence")], ~number, (kind("max_words") != "VOID") & ~F.coalesce(whole, F.lit(False)),
+    ]:
+        wrong = wrong | F.coalesce(bad, F.lit(False))
+    return wrong
+
+
+def validated_requests(requests: DataFrame, body_col: str = "body", type_col: str = "content_type", models: list[str] | None = None, supports: list[str] | None = None) -> DataFrame:
+    """Adds ``request`` (parsed), ``status`` (200, or 422 if something is wrong) and ``error`` (what is wrong first).
+
+    The order of checks is: size, content type, JSON with known fields of the right types, model, blank text, threshold, overlap,
+    schema, and what the scorer ``supports`` (of the fields in ``LISTS``; None: all). An absent content type passes.
+    """
     known = [f.split()[0] for f in REQUEST.split(", ")]
     parsed = F.from_json(body_col, REQUEST, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys(body_col)
-    r = F.col("request")
+    body, keys, r = F.try_parse_json(body_col), F.json_object_keys(body_col), F.col("request")
+    mime = F.trim(F.element_at(F.split(type_col, ";"), 1))
     empty = lambda c: F.coalesce(F.size(r[c]), F.lit(0)) < 1
     overlap = F.translate(F.lower(F.trim(r["overlap"])), "-", "_")
-    pairless = F.coalesce(F.exists(r["classify"], lambda x: ~x.contains("=")), F.lit(False))
-    fieldless = F.coalesce(F.exists(r["json"], lambda x: ~x.contains("=")), F.lit(False))
+    unequal = lambda c: F.coalesce(F.exists(r[c], lambda x: ~x.contains("=")), F.lit(False))
     problems = [
-        (F.octet_length(body_col) > BODY_BYTES, 413, "", "the body is too large"),
-        (F.col(type_col).isNotNull() & ~F.lower(type_col).startswith("application/json"), 415, "", "the content type must be application/json"),
-        (keys.isNull(), 422, "", "the body is no JSON object"),
-        (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0, 422, "", "unknown field"),
-        (r["model"].isNotNull() & ~r["model"].isin(models) if models else F.lit(False), 422, "model", "unknown model"),
-        (r["text"].isNull() | r["text"].rlike(r"(?U)^\s*\z"), 422, "text", "text must not be blank"),
-        (~F.coalesce(r["threshold"], F.lit(0.5)).between(0.0, 1.0), 422, "threshold", "threshold must be between 0 and 1"),
-        (F.coalesce(~overlap.isin(OVERLAPS), F.lit(False)), 422, "overlap", "unknown overlap policy"),
-        (pairless, 422, "classify", "a task is name=label1,label2"),
-        (fieldless, 422, "json", "a structure is name=field1,field2"),
-        (empty("entities") & empty("relations") & empty("json") & empty("classify"), 422, "schema", "the schema is empty"),
+        (F.octet_length(body_col) > BODY_BYTES, "body", "request body exceeds the 1 MiB limit"),
+        (F.coalesce((mime != "application/json") & ~mime.endswith("+json"), F.lit(False)), "Content-Type", "Content-Type must be application/json"),
+        (body.isNull() | keys.isNull(), "body", "invalid request: no JSON object"),
+        (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0, "body", "invalid request: unknown field"),
+        (_wrong_types(body), "body", "invalid request: a field is missing or of a wrong type"),
+        (F.coalesce(~r["model"].isin(models), F.lit(False)) if models else F.lit(False), "model", f"Loaded model is {', '.join(map(repr, models or []))}"),
+        (r["text"].rlike(r"(?U)^\s*\z"), "text", "text must not be empty"),
+        (~F.coalesce(r["threshold"], F.lit(0.5)).between(0.0, 1.0), "threshold", "threshold must be between 0 and 1"),
+        (F.coalesce(~overlap.isin(OVERLAPS), F.lit(False)), "overlap", "unknown overlap_policy"),
+        (unequal("json"), "schema", "--json expects name=field1,field2"),
+        (unequal("classify"), "schema", "--classify expects task=label1,label2"),
+        (empty("entities") & empty("relations") & empty("json") & empty("classify"), "schema", "nothing to do: pass json, entities, relations and/or classify"),
+        *[(~empty(c), "schema", f"this model only supports {', '.join(supports)}") for c in LISTS if supports is not None and c not in supports],
     ]
     out = requests.withColumn("request", parsed).withColumn("error", _first_problem(problems))
-    return out.withColumn("status", F.coalesce("error.status", F.lit(200)))
+    return out.withColumn("status", F.coalesce("error.code", F.lit(200)))
 
 
 def pick_checkpoint(path: str | None, variant: str | None, variants: dict[str, str], default: str) -> str:
