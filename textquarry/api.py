@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
-from .plans.extraction import ExtractionPlan, extract, extract_long
+from .plans.extraction import ExtractionPlan, LongResult, extract, extract_long, extract_long_result
 from .schema import EntitySpec, ExtractOptions, Schema, Session, schema_from_flags
 from .scorers import lexical, rule, vector  # noqa: F401  registers the scorers
 from .scorers.base import scorer
 from .scorers.rule import PATTERNS, RuleScorer
 
-__all__ = ["ExtractionPlan", "Schema", "Session", "extract", "extract_entities", "extract_long", "register_sql", "schema_from_flags", "scorer"]
+__all__ = ["ExtractionPlan", "LongResult", "Schema", "Session", "extract", "extract_entities", "extract_long", "extract_long_result", "register_sql", "schema_from_flags", "scorer"]
 
 
 def extract_entities(docs: DataFrame, labels: list[str], options: ExtractOptions | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

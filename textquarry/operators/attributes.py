@@ -20,10 +20,34 @@ def attribute_pairs(entities: DataFrame, name: str, group: AttributeGroup) -> Da
 
 def decide_attributes(scored: DataFrame, group: AttributeGroup) -> DataFrame:
     """``scored`` has a ``logit`` a pair. Multi-label: all labels whose sigmoid reaches the threshold. Else the first of the most
-    likely, if its softmax share reaches it. Results belong to (label, span)."""
+    likely, with its softmax share, whatever that is. Results belong to (label, span)."""
     if group.multi_label:
         out = scored.withColumn("score", sigmoid(F.col("logit")))
         return out.where(at_least(F.col("score"), group.threshold)).drop("logit", "ix")
     shared = scored.withColumn("score", softmax_over(F.col("logit"), *SPAN))
     rank = F.row_number().over(Window.partitionBy(*SPAN).orderBy(F.desc("logit"), "ix"))
-    return shared.withColumn("_r", rank).where((F.col("_r") == 1) & at_least(F.col("score"), group.threshold)).drop("_r", "logit", "ix")
+    return shared.withColumn("_r", rank).where("_r = 1").drop("_r", "logit", "ix")
+
+
+def scored_attributes(docs: DataFrame, entities: DataFrame, groups: dict[str, AttributeGroup], scorer) -> DataFrame | None:
+    """Rows (doc_id, label, start, end, attribute_group, attribute, score) of all groups; ``scorer`` scores the pairs of spans and labels."""
+    out = None
+    for name, group in groups.items():
+        pairs = attribute_pairs(entities, name, group)
+        query = F.concat(F.lit(f"{name}: "), F.col("attribute")) if group.qualify_labels else F.col("attribute")
+        decided = decide_attributes(scorer.explicit(docs, pairs.withColumn("query", query)), group)
+        rows = decided.select(*SPAN, "attribute_group", "attribute", F.col("score").cast("float").alias("score"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def attached(entities: DataFrame, found: DataFrame, groups: dict[str, AttributeGroup]) -> DataFrame:
+    """``entities`` with a column ``attributes``: a struct with, for each group, (label, confidence), or an array of these for a multi-label group."""
+    item = F.struct((-F.col("score")).alias("n"), F.col("attribute").alias("label"), F.col("score").alias("confidence"))
+    lists = found.groupBy(*SPAN).agg(*[F.sort_array(F.collect_list(F.when(F.col("attribute_group") == g, item))).alias(f"_{i}") for i, g in enumerate(groups)])
+    out = entities.join(lists, SPAN, "left")
+    values = []
+    for i, (name, group) in enumerate(groups.items()):
+        items = F.transform(F.coalesce(F.col(f"_{i}"), F.array()), lambda x: F.struct(x["label"].alias("label"), x["confidence"].alias("confidence")))
+        values.append((items if group.multi_label else F.get(items, F.lit(0))).alias(name))
+    return out.select(*entities.columns, F.struct(*values).alias("attributes"))

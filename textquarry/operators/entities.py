@@ -72,10 +72,11 @@ def extract_entities(spans: DataFrame, specs: list[EntitySpec], options: Extract
 
 def as_columns(docs: DataFrame, found: DataFrame, specs: list[EntitySpec], id_col: str = "doc_id") -> DataFrame:
     """One row a document: a column ``entities``, a struct with an array (or, for ``str``, a struct or null) for each label."""
-    mention = F.struct((-F.col("score")).alias("n"), "start", "end", "text", "score")
+    extra = ["attributes"] if "attributes" in found.columns else []
+    mention = F.struct((-F.col("score")).alias("n"), "start", "end", "text", "score", *extra)
     groups = found.groupBy("doc_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("label") == s.name, mention))).alias(f"_{i}") for i, s in enumerate(specs)])
     out = docs.join(groups.withColumnRenamed("doc_id", id_col), id_col, "left")
-    shape = lambda x: F.struct(x["text"].alias("text"), x["score"].alias("confidence"), x["start"].alias("start"), x["end"].alias("end"))
+    shape = lambda x: F.struct(x["text"].alias("text"), x["score"].alias("confidence"), x["start"].alias("start"), x["end"].alias("end"), *[x[c].alias(c) for c in extra])
     values = []
     for i, s in enumerate(specs):
         items = F.transform(F.coalesce(F.col(f"_{i}"), F.array()), shape)

@@ -55,6 +55,23 @@ def merge_relations(edges: DataFrame) -> DataFrame:
     return best.select(*key, "x.*")
 
 
-def merge_records(records: DataFrame, value: str = "value", confidence: str = "score") -> DataFrame:
-    """Equal records (a struct without confidences) keep the copy of the highest confidence; ``first`` is where one first stood."""
-    return records.groupBy("doc_id", "structure", value).agg(F.max(confidence).alias(confidence), F.min("chunk_ix").alias("first"))
+def merge_attributes(rows: DataFrame) -> DataFrame:
+    """Attributes of equal spans keep those of the earliest chunk."""
+    key = ["doc_id", "label", "start", "end", "attribute_group"]
+    first = F.min("chunk_ix").over(Window.partitionBy(*key))
+    return rows.withColumn("_f", first).where(F.col("chunk_ix") == F.col("_f")).select(*key, "attribute", "score")
+
+
+def merge_records(records: DataFrame) -> DataFrame:
+    """(doc_id, structure, record, score, first): of records that are equal but for confidences the copy of the highest score, the
+    earliest of equals; ``first`` is the (chunk, place) where one first stood. ``records``: (doc_id, chunk_ix, structure, record, score, place)."""
+    bare = F.regexp_replace(F.to_json("record"), r'"confidence":[-+.0-9eE]+,?', "")
+    at = F.struct("chunk_ix", "place")
+    keyed = records.withColumn("_key", bare).withColumn("_at", at)
+    best = F.max_by("record", F.struct("score", -F.col("chunk_ix"), -F.col("place")))
+    return keyed.groupBy("doc_id", "structure", "_key").agg(best.alias("record"), F.max("score").alias("score"), F.min("_at").alias("first")).drop("_key")
+
+
+def as_list(value):
+    """A single value as an array of one, a null as an empty array: what merging needs where one chunk gives a list and another a value."""
+    return F.when(value.isNull(), F.array()).otherwise(F.array(value))

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import at_least, sigmoid, softmax_over
-from ..schema import Cardinality
+from ..functions.text import matches
+from ..schema import STR, Cardinality, ExtractOptions, FieldSpec, StructureMode, StructureSpec
+from .choices import bind_to_anchors, choice_mentions, decide_choice, matched_choice, nearest_to_anchor
+from .spans import resolve_overlaps
 
 REC = ["doc_id", "structure"]
 ABSENT = -1
@@ -76,17 +79,17 @@ def linear_sum_assignment(cost: np.ndarray) -> np.ndarray:
 
 
 def assignment_costs(logits: np.ndarray, allows_absent: bool) -> np.ndarray:
-    """Costs of one field's single values: -ln of softmax shares, and a private column a row for "absent", dear if it isn't allowed."""
+    """Costs of one field's single values, in single precision as scores are: -ln of softmax shares, and a column of its own for each
+    row's "absent". Another row's column is forbidden: it costs more than all rows together can. So does "absent" itself where a
+    value is required, so that rows go without only if there are fewer candidates than rows."""
+    logits = logits.astype(np.float32)
     shares = np.exp(logits - logits.max(axis=1, keepdims=True))
     shares /= shares.sum(axis=1, keepdims=True)
-    eps = float(np.finfo(np.float32).eps)
-    cost = -np.log(np.maximum(shares[:, 1:], eps))
-    most = float(cost.max())
-    own = -np.log(np.maximum(shares[:, 0], eps)) if allows_absent else np.full(len(cost), most + 50.0)
-    barred = max(most, float(own.max())) + 1000.0
-    side = np.full((len(cost), len(cost)), barred)
-    np.fill_diagonal(side, own)
-    return np.hstack([cost, side])
+    cost = -np.log(np.maximum(shares, np.finfo(np.float32).eps)).astype(np.float64)
+    rows = len(cost)
+    dear = 1.0 + cost.max(axis=1).sum()
+    absent = np.where(np.eye(rows, dtype=bool), cost[:, :1] if allows_absent else dear, dear * (rows + 1))
+    return np.hstack([cost[:, 1:], absent])
 
 
 def seeds(objects: DataFrame, threshold: float, temperature: float = 1.0) -> DataFrame:
@@ -185,6 +188,124 @@ def in_anchor_order(records: DataFrame, spans: DataFrame) -> DataFrame:
     return records.join(numbered.select(*REC, "inst", "record_ix"), [*REC, "inst"])
 
 
+def record_fields(spec: StructureSpec) -> list[RecordField]:
+    out = []
+    for f in spec.fields:
+        anchor = f.name == spec.anchor_field
+        out.append(RecordField(f.name, f.cardinality_as(anchor), bool(f.exclusive), anchor))
+    return out
+
+
+def is_single(field: FieldSpec, anchor: bool) -> bool:
+    return field.cardinality_as(anchor).is_scalar or field.dtype == STR
+
+
+def field_mentions(decoded: DataFrame, candidates: DataFrame, fields: DataFrame, spec: StructureSpec, options: ExtractOptions) -> DataFrame:
+    """Rows (doc_id, structure, inst, field, start, end, score, text): the candidates assigned to a record's fields that hold up as values.
+
+    A value's score is the lesser of its probability as the field's candidate and of its assignment. An optional field drops what
+    is no likely candidate; a field's own threshold is one on that score; then validators and overlaps within a record's field.
+    """
+    rows = decoded.join(candidates, ["doc_id", "cand"]).join(fields.withColumnRenamed("score", "_own"), ["doc_id", "field", "cand"], "left")
+    own = F.coalesce(F.col("_own"), F.lit(0.0)).cast("float")
+    rows = rows.withColumn("_own", own).withColumn("score", F.least(own, F.col("score").cast("float")))
+    keep = F.lit(False)
+    for f in spec.fields:
+        ok = at_least(F.col("_own"), options.threshold) if f.cardinality_as(f.name == spec.anchor_field).allows_absent else F.lit(True)
+        if f.threshold is not None:
+            ok = ok & at_least(F.col("score"), f.threshold)
+        for v in f.validators:
+            ok = ok & matches(F.col("text"), v)
+        keep = F.when(F.col("field") == f.name, ok).otherwise(keep)
+    return resolve_overlaps(rows.where(keep), [*REC, "inst", "field"], options.policy)
+
+
+def chosen_values(found: DataFrame, records: DataFrame, anchors: DataFrame | None, docs: DataFrame, scored: DataFrame, field: FieldSpec, anchor: bool, threshold: float) -> DataFrame:
+    """Rows (doc_id, structure, inst, field, o, start, end, score, text) of a field with choices; ``o`` is the order of its values.
+
+    A record with an anchor takes the literal mentions bound to it (a single value: the one nearest to the anchor), and nothing
+    if its document mentions choices elsewhere alone. Without any literal mention, and without anchors, surfaces that equal a
+    choice are taken; where there is none, the choices' own scores decide.
+
+    ``found``: field_mentions; ``records``: (doc_id, structure, inst); ``anchors``: (doc_id, owner, a_start, a_end); ``scored``:
+    (doc_id, choice, ix, score).
+    """
+    single, limit = is_single(field, anchor), threshold if field.threshold is None else field.threshold
+    name, choices = F.lit(field.name).alias("field"), list(dict.fromkeys(field.choices or ()))
+    nowhere = F.lit(None).cast("int")
+    equal = found.where(F.col("field") == field.name).withColumn("text", matched_choice(F.col("text"), choices)).where("text is not null")
+    if single:
+        equal = equal.withColumn("_r", F.row_number().over(Window.partitionBy(*REC, "inst").orderBy(F.desc("score"), "start", "end"))).where("_r = 1")
+    equal = equal.select(*REC, "inst", name, (-F.col("score")).cast("double").alias("o"), "start", "end", "score", "text")
+    free = records
+    literal = None
+    if anchors is not None:
+        mentions = choice_mentions(docs, choices)
+        bound = bind_to_anchors(mentions, anchors)
+        own = nearest_to_anchor(bound, anchors) if single else bound
+        own = own.join(scored.select("doc_id", "choice", "score"), ["doc_id", "choice"])
+        literal = own.join(records.withColumnRenamed("inst", "owner"), ["doc_id", "owner"]).select(*REC, F.col("owner").alias("inst"), name, F.col("start").cast("double").alias("o"), "start", "end", "score", F.col("choice").alias("text"))
+        quiet = mentions.select("doc_id").distinct()
+        free = records.join(quiet, "doc_id", "left_anti")
+        equal = equal.join(quiet, "doc_id", "left_anti")
+    unequal = free.join(equal.select(*REC, "inst").distinct(), [*REC, "inst"], "left_anti")
+    guessed = decide_choice(unequal.join(scored, "doc_id"), [*REC, "inst"], single, limit)
+    guessed = guessed.select(*REC, "inst", name, F.col("ix").cast("double").alias("o"), nowhere.alias("start"), nowhere.alias("end"), "score", F.col("choice").alias("text"))
+    out = equal.unionByName(guessed)
+    return out if literal is None else out.unionByName(literal)
+
+
+def record_values(docs: DataFrame, scores, spec: StructureSpec, options: ExtractOptions) -> DataFrame:
+    """(doc_id, structure, inst, record, score, first, last): a structure's records with at least one value; ``record`` is a struct of its
+    fields, each a mention (text, confidence, start, end) or an array of them. Records with anchors stand in the order of (first, last),
+    the anchor's span; the others by score, descending, then inst.
+
+    ``docs``: (doc_id, text); ``scores``: a scorer's RecordScores of the structure.
+    """
+    decoded = decode_records(scores.objects, scores.assign, record_fields(spec), options.threshold, scores.temperature)
+    if spec.anchor_field is None:
+        decoded = without_repeated(decoded)
+    known = decoded.groupBy(*REC, "inst").agg(F.max("record_score").alias("record_score"))
+    anchored = spec.mode is not StructureMode.ANCHORLESS
+    spans = scores.candidates.select("doc_id", F.col("cand").alias("inst"), F.col("start").alias("first"), F.col("end").alias("last"))
+    known = known.join(spans, ["doc_id", "inst"], "left") if anchored else known.withColumn("first", F.lit(None).cast("int")).withColumn("last", F.lit(None).cast("int"))
+    found = field_mentions(decoded, scores.candidates, scores.fields, spec, options)
+    anchors = known.select("doc_id", F.col("inst").alias("owner"), F.col("first").alias("a_start"), F.col("last").alias("a_end")) if anchored else None
+    plain = [f.name for f in spec.fields if f.choices is None]
+    rows = found.where(F.col("field").isin(plain)).select(*REC, "inst", "field", (-F.col("score")).cast("double").alias("o"), "start", "end", "score", "text")
+    if not options.include_spans:
+        again = Window.partitionBy(*REC, "inst", "field", F.lower("text")).orderBy("o", "start", "end")
+        rows = rows.withColumn("_r", F.row_number().over(again)).where("_r = 1").drop("_r")
+    for f in spec.fields:
+        if f.choices is not None:
+            scored = scores.choices.where(F.col("field") == f.name).select("doc_id", "choice", "ix", "score")
+            rows = rows.unionByName(chosen_values(found, known.select(*REC, "inst"), anchors, docs, scored, f, f.name == spec.anchor_field, options.threshold))
+    item = F.struct("o", "start", "end", "text", F.col("score").cast("float").alias("score"))
+    lists = rows.where("text != ''").groupBy(*REC, "inst").agg(*[F.sort_array(F.collect_list(F.when(F.col("field") == f.name, item))).alias(f"_{i}") for i, f in enumerate(spec.fields)])
+    shape = lambda x: F.struct(x["text"].alias("text"), x["score"].alias("confidence"), x["start"].alias("start"), x["end"].alias("end"))
+    values = [F.transform(f"_{i}", shape) for i in range(len(spec.fields))]
+    record = F.struct(*[(F.get(v, F.lit(0)) if is_single(f, f.name == spec.anchor_field) else v).alias(f.name) for f, v in zip(spec.fields, values, strict=True)])
+    return lists.select(*REC, "inst", record.alias("record")).join(known, [*REC, "inst"]).select(*REC, "inst", "record", F.col("record_score").alias("score"), "first", "last")
+
+
+def record_list(values: DataFrame, anchored: bool) -> DataFrame:
+    """(doc_id, records): a document's records in order."""
+    order = ["first", "last", "inst"] if anchored else [(-F.col("score")).alias("n"), "inst"]
+    lists = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), "record")), _by_order).alias("x"))
+    return lists.select("doc_id", F.transform("x", lambda r: r["record"]).alias("records"))
+
+
+def moved_record(record, spec: StructureSpec, by):
+    """A record with its offsets moved, as from a chunk to its document."""
+    shift = lambda m: F.when(m.isNotNull(), F.struct(m["text"].alias("text"), m["confidence"].alias("confidence"), (m["start"] + by).cast("int").alias("start"), (m["end"] + by).cast("int").alias("end")))
+    single = {f.name: is_single(f, f.name == spec.anchor_field) for f in spec.fields}
+    return F.struct(*[(shift(record[n]) if one else F.transform(record[n], shift)).alias(n) for n, one in single.items()])
+
+
+def _by_order(a, b):
+    return F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+
+
 def legacy_structure(found: DataFrame, fields: list[tuple[str, bool]]) -> DataFrame:
     """One aggregate record a document, from entity rows (doc_id, label, start, end, score, text): for each (field, single) the best
     text or the texts by rank; documents without any value have none."""

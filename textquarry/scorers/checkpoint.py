@@ -6,6 +6,8 @@ and batches are right, and nothing about accuracy.
 
 from __future__ import annotations
 
+import json
+import pathlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,15 +16,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..schema import ClassificationSpec, Schema, SchemaError, choice_prefix, prompt_groups
+from ..operators.choices import choice_position
+from ..schema import ClassificationSpec, Schema, SchemaError, StructureMode, StructureSpec, choice_prefix, prompt_groups
 from . import network as N
-from .base import register
-from .weights import Checkpoint, open_checkpoint
+from .base import RecordScores, register, written_once
+from .weights import FILES, Checkpoint, open_checkpoint
 
 # Separators of the input layout; words as in ``functions.text``, for Python.
 SEP_GROUP, SEP_TEXT = "[SEP_STRUCT]", "[SEP_TEXT]"
-WORD = r"(?i)(?:https?://[^\s]+|www\.[^\s]+)|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|@[a-z0-9_]+|[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|\S"
+WORD = r"(?i)(?:https?://[^\s]+|www\.[^\s]+)|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}|@[a-z0-9_]+|[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*+|\S"
 CHARACTER = r"[A-Za-z0-9@._\-+]+|\S"
 
 
@@ -45,7 +49,7 @@ class Model:
         from tokenizers import Tokenizer
 
         self.c, self.p = checkpoint, N.Parameters(checkpoint.tensors)
-        self.tokenizer = Tokenizer.from_file(checkpoint.tokenizer)
+        self.tokenizer = Tokenizer.from_str(checkpoint.tokenizer) if checkpoint.tokenizer.lstrip().startswith("{") else Tokenizer.from_file(checkpoint.tokenizer)
         self.words = regex.compile(CHARACTER if splitter == "char" else WORD)
 
     def prepare(self, text: str, schema: Schema, max_words: int | None = None) -> Prepared:
@@ -101,6 +105,87 @@ class Model:
                     out.append((label, place[0], place[1], float(scores[q, k]), place[2]))
         return out
 
+    def _forward(self, text: str, schema: Schema) -> tuple[Prepared, np.ndarray, np.ndarray, N.Candidates, dict]:
+        """(input, states of words, states of the first group's or the relations' fields, candidates, settings) under a boundary head."""
+        if self.c.architecture != "boundary":
+            raise SchemaError("attributes, relations and records need a boundary head")
+        given = self.prepare(text, schema)
+        states, cfg = N.encode(self.c, given.ids), self.c.config["boundary_head"]
+        words, queries = states[given.word_at], states[[i for m in given.fields_at for i in m]]
+        return given, words, queries, N.score_candidates(self.p.at("boundary_head"), cfg, words, queries), cfg
+
+    def explicit_logits(self, text: str, pairs: list[tuple[int, int, str]]) -> list[float | None]:
+        """Logits of (start, end, query) whatever the candidates are; None for offsets that hold no word."""
+        labels = list(dict.fromkeys(q for _, _, q in pairs))
+        given, words, queries, found, cfg = self._forward(text, Schema().with_entities(*labels))
+        out: list[float | None] = []
+        for start, end, query in pairs:
+            inside = [i for i, (a, b) in enumerate(given.words) if a < end and b > start and a < len(text)]
+            if not inside:
+                out.append(None)
+                continue
+            span = np.array([[inside[0] + given.prefix, inside[-1] + 1 + given.prefix]])
+            logit = N.score_spans(self.p.at("boundary_head"), cfg, found, words, queries, labels.index(query), span)[0]
+            out.append(float(logit / cfg["pair_temperature"]))
+        return out
+
+    def relation_pairs(self, text: str, relations: list[str]) -> list[tuple]:
+        """(relation, head start, end, text, tail start, end, text, score, place) of the proposed pairs, by place."""
+        given, words, queries, found, cfg = self._forward(text, Schema().with_relations(*relations))
+        if not len(found.spans):
+            return []
+        likely = N.sigmoid(found.logits)
+        pairs = []
+        for r in range(len(relations)):
+            sides = []
+            for q, most in ((2 * r, cfg["relation_heads_per_type"]), (2 * r + 1, cfg["relation_tails_per_type"])):
+                order = np.argsort(-likely[q], kind="stable")[:most]
+                sides.append([k for k in order.tolist() if likely[q][k] >= cfg["relation_argument_proposal_threshold"]])
+            both = [(-likely[2 * r][h] * likely[2 * r + 1][t], i, j, h, t) for i, h in enumerate(sides[0]) for j, t in enumerate(sides[1]) if h != t]
+            pairs += [(r, *found.spans[h], *found.spans[t]) for *_, h, t in sorted(both)[: cfg["relation_pair_cap"]]]
+        if not pairs:
+            return []
+        states = np.stack([N.relation_states(queries[2 * r], queries[2 * r + 1], cfg["directional_relation_states"]) for r in range(len(relations))])
+        logits = N.relation_logits(self.p.at("relation_scorer"), cfg, words, states, np.array(pairs))
+        out = []
+        for place, (pair, logit) in enumerate(zip(pairs, logits, strict=True), 1):
+            head, tail = self._span(given, pair[1:3], len(text)), self._span(given, pair[3:5], len(text))
+            if head and tail:
+                out.append((relations[pair[0]], *head, *tail, float(N.sigmoid(logit / cfg["relation_temperature"])), place))
+        return out
+
+    def record_rows(self, text: str, spec: StructureSpec) -> list[tuple]:
+        """(kind, inst, field, cand, start, end, text, value) of one structure: candidates, fields, objects, assign and choices."""
+        given, words, queries, found, cfg = self._forward(text, Schema().with_structure(spec))
+        names, rows = [f.name for f in spec.fields], []
+        places = [self._span(given, x, len(text)) for x in found.spans.tolist()]
+        for f, field in enumerate(spec.fields):
+            for i, choice in enumerate(dict.fromkeys(field.choices or ())):
+                at = choice_position(list(choice_prefix(Schema().with_structure(spec))), choice)
+                if at is not None:
+                    logit = N.score_spans(self.p.at("boundary_head"), cfg, found, words, queries, f, np.array([[at, at + 1]]))[0]
+                    rows.append(("choice", i, field.name, -1, None, None, choice, float(N.sigmoid(logit / cfg["pair_temperature"]))))
+        kept = [k for k, p in enumerate(places) if p]
+        if not len(found.spans):
+            return rows
+        for k in kept:
+            rows.append(("candidate", -1, "", k, *places[k], 0.0))
+            rows += [("field", -1, n, k, None, None, None, float(N.sigmoid(found.logits[f, k] / cfg["pair_temperature"]))) for f, n in enumerate(names)]
+        states = N.candidate_states(self.p.at("boundary_head"), found)
+        head = N.RecordHead(self.p.at("record_decoder"), cfg["record_dim"])
+        if spec.mode is StructureMode.ANCHORLESS:
+            instances, objects = head.anchorless(states)
+            numbers = range(len(instances))
+        else:
+            instances, numbers = states, kept
+            objects = head.latent_seeds(states) if spec.mode is StructureMode.LATENT else found.logits[names.index(spec.anchor_field)]
+        assign = head.assign(instances, states, queries)
+        for i in numbers:
+            rows.append(("object", i, "", -1, None, None, None, float(objects[i])))
+            for f, n in enumerate(names):
+                rows += [("assign", i, n, k, None, None, None, float(assign[f, i, k + 1])) for k in (-1, *kept)]
+        return rows
+
     def label_logits(self, text: str, spec: ClassificationSpec) -> np.ndarray:
         given = self.prepare(text, Schema().with_classification(spec))
         states = N.encode(self.c, given.ids)[given.fields_at[0]]
@@ -130,19 +215,25 @@ class CheckpointScorer:
 
     def validate(self, schema: Schema) -> None:
         schema.validate()
-        if schema.structures and any(not s.fields for s in schema.structures):
-            raise SchemaError("a structure has no field")
+        if schema.attributes or schema.relations or schema.structures:
+            config = json.loads((pathlib.Path(self.path) / FILES[0]).read_text(encoding="utf-8"))
+            if "boundary_head" not in config:
+                raise SchemaError("this model only supports entities and tasks")
 
     def _mapped(self, docs: DataFrame, rows, schema: str) -> DataFrame:
         path, splitter = self.path, self.splitter
 
+        kind = docs.schema[self.id_col].dataType  # a document's id, or a chunk's (a struct, which goes through as JSON)
+
         def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = model_of(path, splitter)
             names = [c.split()[0] for c in schema.split(", ")]
             for part in parts:
                 yield pd.DataFrame([(key, *x) for key, text in zip(part["doc_id"], part["text"], strict=True) for x in rows(model, text or "")], columns=names)
 
-        return docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text")).mapInPandas(score, schema)
+        key = F.to_json(self.id_col) if isinstance(kind, StructType) else F.col(self.id_col).cast("string")
+        found = docs.select(key.alias("doc_id"), F.col(self.text_col).alias("text")).mapInPandas(score, schema.replace("doc_id long", "doc_id string"))
+        return found.withColumn("doc_id", F.from_json("doc_id", kind) if isinstance(kind, StructType) else F.col("doc_id").cast(kind))
 
     def spans(self, docs: DataFrame, labels: list[str]) -> DataFrame:
         return self._mapped(docs, lambda model, text: model.span_scores(text, labels), "doc_id long, label string, start int, end int, score float, text string")
@@ -156,3 +247,43 @@ class CheckpointScorer:
             return [(task, x, i, float(p)) for i, (x, p) in enumerate(zip(labels, shown, strict=True))]
 
         return self._mapped(docs, rows, "doc_id long, task string, label string, ix int, score float")
+
+    def explicit(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with a logit; a text's pairs go through the network once."""
+        path, splitter = self.path, self.splitter
+        asked = F.collect_list(F.struct("start", "end", "query", "_n"))
+        numbered = pairs.withColumn("_n", F.xxhash64("label", "start", "end", "attribute_group", "ix"))
+        grouped = numbered.groupBy("doc_id").agg(asked.alias("asked")).join(docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).alias("text")), "doc_id")
+        kind = docs.schema[self.id_col].dataType
+
+        def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = model_of(path, splitter)
+            for part in parts:
+                rows = []
+                for key, text, asked in zip(part["key"], part["text"], part["asked"], strict=True):
+                    found = model.explicit_logits(text or "", [(a["start"], a["end"], a["query"]) for a in asked])
+                    rows += [(key, a["_n"], x) for a, x in zip(asked, found, strict=True) if x is not None]
+                yield pd.DataFrame(rows, columns=["key", "_n", "logit"])
+
+        as_json = isinstance(kind, StructType)
+        key = F.to_json("doc_id") if as_json else F.col("doc_id")
+        back = F.from_json("key", kind) if as_json else F.col("key").cast(kind)
+        found = grouped.select(key.cast("string").alias("key"), "text", "asked").mapInPandas(score, "key string, _n long, logit double")
+        return numbered.join(found.select(back.alias("doc_id"), "_n", "logit"), ["doc_id", "_n"]).drop("_n")
+
+    def pairs(self, docs: DataFrame, relations: list[str]) -> DataFrame:
+        """Scored pairs of relations, as ``operators.relations.propose_pairs`` gives them."""
+        schema = "doc_id long, relation string, h_start int, h_end int, h_text string, t_start int, t_end int, t_text string, score float, place int"
+        return self._mapped(docs, lambda model, text: model.relation_pairs(text, relations), schema)
+
+    def records(self, docs: DataFrame, spec: StructureSpec) -> RecordScores:
+        schema = "doc_id long, kind string, inst int, field string, cand int, start int, end int, text string, value double"
+        rows = written_once(self._mapped(docs, lambda model, text: model.record_rows(text, spec), schema))
+        of = lambda kind, *columns: rows.where(F.col("kind") == kind).select("doc_id", *columns)
+        structure, logit = F.lit(spec.name).alias("structure"), F.col("value").alias("logit")
+        choices = of("choice", "field", F.col("text").alias("choice"), F.col("inst").alias("ix"), F.col("value").cast("float").alias("score"))
+        temperature = json.loads((pathlib.Path(self.path) / FILES[0]).read_text(encoding="utf-8"))["boundary_head"]["record_temperature"]
+        return RecordScores(
+            of("candidate", "cand", "start", "end", "text"), of("field", "field", "cand", F.col("value").cast("float").alias("score")),
+            of("object", structure, "inst", logit), of("assign", structure, "inst", "field", "cand", logit), choices, temperature,
+        )

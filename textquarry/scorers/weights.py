@@ -59,7 +59,7 @@ def write_tensors(path: str | pathlib.Path, tensors: dict[str, np.ndarray]) -> N
 
 @dataclass
 class Checkpoint:
-    """A folder with the four files of a model."""
+    """The four files of a model; ``tokenizer`` is its file's path, or its content."""
 
     config: dict
     encoder: dict
@@ -91,6 +91,17 @@ def open_checkpoint(folder: str) -> Checkpoint:
     return out
 
 
+def checkpoint_from_bytes(files: dict[str, bytes]) -> Checkpoint:
+    """A checkpoint from the contents of its four files, by the names in ``FILES``; the tokenizer's is held as text."""
+    missing = [f for f in FILES if f not in files]
+    if missing:
+        raise SchemaError(f"the checkpoint lacks {', '.join(missing)}")
+    out = Checkpoint(json.loads(files[FILES[0]]), json.loads(files[FILES[1]]), files[FILES[2]].decode("utf-8"))
+    check_config(out)
+    out.tensors = read_tensors(np.frombuffer(files[FILES[3]], dtype=np.uint8))
+    return out
+
+
 def check_config(c: Checkpoint) -> None:
     """Raises for settings that the network here doesn't have."""
 
