@@ -5,7 +5,6 @@ import random
 from datetime import datetime, timedelta
 
 from textquarry import queries
-from textquarry.llm.line_dedup import drop_boilerplate
 
 
 def test_score_functions_whole_sees_all_components(spark, tmp_path):
@@ -13,7 +12,7 @@ def test_score_functions_whole_sees_all_components(spark, tmp_path):
     rows = [(i, [rng.randrange(-999, 1000) / 1000 for _ in range(64)]) for i in range(20)]
     rows[0][1][63] = 3.0
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    found = {r["vec_id"]: r for r in queries.QUERIES["score_functions_whole"](spark, str(tmp_path)).collect()}
+    found = {r["vec_id"]: r for r in queries.QUERIES["score_functions"](spark, str(tmp_path)).collect()}
     assert found[0]["best"] == 63
     for i, v in rows:
         total, r = sum(map(math.exp, v)), found[i]
@@ -28,7 +27,7 @@ def test_score_functions_whole_sees_all_components(spark, tmp_path):
 def test_text_prepare_whole_reaches_the_end(spark, tmp_path):
     rows = [(1, " ".join(f"Word{i}" for i in range(30))), (2, "Ends Already! " * 9 + "So?"), (3, ""), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r["doc_id"]: r for r in queries.QUERIES["text_prepare_whole"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r for r in queries.QUERIES["text_prepare"](spark, str(tmp_path)).collect()}
     assert found[1]["model_words"].split(" ") == [f"word{i}" for i in range(30)] + ["."]
     assert found[2]["model_words"] == "ends already ! " * 9 + "so ?"
     assert [found[i]["n_words"] for i in (1, 2, 3, 4)] == [31, 29, 1, 1]
@@ -39,16 +38,5 @@ def test_interval_mean_whole_averages_the_last_events(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [(u * 100 + i, u, start + timedelta(minutes=i), float(i)) for u, n in ((1, 2), (2, 5), (3, 8)) for i in range(n)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
-    found = {(r["user_id"], r["first_ix"]): r["mean"] for r in queries.QUERIES["interval_mean_whole"](spark, str(tmp_path)).collect()}
+    found = {(r["user_id"], r["first_ix"]): r["mean"] for r in queries.QUERIES["interval_mean"](spark, str(tmp_path)).collect()}
     assert found == {(1, 0): 50.0, (2, 0): 200.0, (3, 0): 200.0, (3, 5): 600.0}
-
-
-def test_line_dedup_reaches_small_hosts(spark):
-    sizes = {"one": 1, "two": 2, "four": 4, "six": 6, "ten": 10}
-    rows = [(f"{host}{i}", "\n".join(["menu"] * (host != "ten" or i < 4) + ["some"] * (i == 0 or (host == "four" and i < 3)) + [f"own {i}"]), host) for host, n in sizes.items() for i in range(n)]
-    out = {r["doc_id"]: r["text"] for r in drop_boilerplate(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()}
-    assert out["one0"] == "menu\nsome\nown 0"  # a ratio of one page means nothing
-    assert (out["two0"], out["two1"]) == ("some\nown 0", "own 1")
-    assert [out[f"four{i}"] for i in range(4)] == [f"own {i}" for i in range(4)]
-    assert out["six0"] == "some\nown 0"
-    assert out["ten0"] == "menu\nsome\nown 0"  # four pages, fewer than the five that larger hosts need

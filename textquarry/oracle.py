@@ -148,10 +148,10 @@ def pair_ctes() -> str:
     """CTEs ending in ``pairs``: (doc_id, relation, hs, he, ht, ts, te, tt, score, place)."""
     return f"""{DOCS}, {labelled(['name', 'email', 'phone_number'])},
 roles AS (SELECT * FROM (VALUES ('contact_mail', 'head', 'name'), ('contact_mail', 'tail', 'email'), ('contact_phone', 'head', 'name'), ('contact_phone', 'tail', 'phone_number'), ('beside', 'head', 'name'), ('beside', 'tail', 'name')) r(relation, role, label)),
-args AS (SELECT doc_id, relation, role, s, e, text, score, row_number() OVER (PARTITION BY doc_id, relation, role ORDER BY score DESC, s, e, label) AS place FROM spans JOIN roles USING (label) WHERE score >= 0.6::FLOAT QUALIFY place <= 6),
+args AS (SELECT doc_id, relation, role, s, e, text, score, row_number() OVER (PARTITION BY doc_id, relation, role ORDER BY score DESC, s, e, label) AS place FROM spans JOIN roles USING (label) WHERE score >= 0.6::FLOAT QUALIFY place <= 16),
 pairs AS (SELECT h.doc_id, h.relation, h.s AS hs, h.e AS he, h.text AS ht, t.s AS ts, t.e AS te, t.text AS tt, (h.score * t.score)::FLOAT AS score,
   row_number() OVER (PARTITION BY h.doc_id, h.relation ORDER BY (h.score * t.score)::FLOAT DESC, h.place, t.place) AS place_
- FROM args h JOIN args t ON h.doc_id = t.doc_id AND h.relation = t.relation AND h.role = 'head' AND t.role = 'tail' AND (h.s <> t.s OR h.e <> t.e) QUALIFY place_ <= 12)"""
+ FROM args h JOIN args t ON h.doc_id = t.doc_id AND h.relation = t.relation AND h.role = 'head' AND t.role = 'tail' AND (h.s <> t.s OR h.e <> t.e) QUALIFY place_ <= 64)"""
 
 
 def canonical_ctes(source: str) -> str:
@@ -174,7 +174,7 @@ edges AS (SELECT * FROM sets a WHERE NOT EXISTS (SELECT 1 FROM sets b WHERE a.do
 def attribute_sql(multi: bool) -> str:
     where = "" if multi else "WHERE label IN ('email', 'phone_number')"
     score = "1 / (1 + exp(-logit))" if multi else "exp(logit - max(logit) OVER k) / sum(exp(logit)) OVER k * exp(max(logit) OVER k)"
-    pick = "WHERE score::FLOAT >= 0.6::FLOAT" if multi else "WHERE score::FLOAT >= 0.5::FLOAT AND r = 1"
+    pick = "WHERE score::FLOAT >= 0.6::FLOAT" if multi else "WHERE r = 1"
     return f"""WITH {DOCS}, {labelled(PII)}, asked AS (SELECT doc_id, label, s, e, text, attribute, ix, ((length(text) * (ix + 3)) % 17 - 8) / 4 AS logit FROM spans, (VALUES ('low', 0), ('middle', 1), ('high', 2)) v(attribute, ix) {where}),
 scored AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY doc_id, label, s, e ORDER BY logit DESC, ix) AS r FROM asked WINDOW k AS (PARTITION BY doc_id, label, s, e))
 SELECT doc_id, label, s AS span_start, e AS span_end, attribute, round(score, 6) AS score FROM scored {pick}"""
@@ -216,7 +216,7 @@ general AS (SELECT a.vec_id, a.pos AS s, b.pos AS e, a.score + b.score AS score
 def pool_sql(own: bool, capacity: int) -> str:
     rows = "SELECT * FROM general"
     if own:
-        rows += """ UNION ALL SELECT vec_id, s, e, (5000 + 3 - r)::DOUBLE FROM (SELECT vec_id, pos AS s, pos + pos % 4 + 1 AS e, row_number() OVER (PARTITION BY vec_id, pos % 2 ORDER BY round(abs(x)::DOUBLE, 4) DESC, pos, pos + pos % 4 + 1) - 1 AS r FROM comp WHERE pos < 60) WHERE r < 3"""
+        rows += """ UNION ALL SELECT vec_id, s, e, (5000 + 3 - r)::DOUBLE FROM (SELECT vec_id, pos AS s, pos + pos % 4 + 1 AS e, row_number() OVER (PARTITION BY vec_id, pos % 2 ORDER BY round(abs(x)::DOUBLE, 4) DESC, pos, pos + pos % 4 + 1) - 1 AS r FROM comp) WHERE r < 3"""
     return f"""WITH {BOUNDARIES}, rows AS ({rows}), best AS (SELECT vec_id, s, e, max(score) AS score FROM rows GROUP BY ALL)
 SELECT vec_id, s AS span_start, e AS span_end, round(score, 4) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) - 1 AS slot FROM best QUALIFY slot < {capacity}"""
 
@@ -225,6 +225,98 @@ def long_labels(multi: float | None) -> str:
     return decided(label_rows("chunks", "doc_id, chunk_ix", CUES["topic"]), "doc_id, chunk_ix", multi)
 
 
+def _attributes_request() -> str:
+    logit = "((length(text) * (ix + 3)) % 17 - 8) / 4"
+    return resolved(f"{DOCS}, {labelled(['email', 'phone_number', 'ip_address'])}, enough AS (SELECT * FROM spans WHERE score >= 0.4::FLOAT)", "flat", f""", asked AS (SELECT doc_id, label, s, e, text, risk, flag, ix, {logit} AS logit FROM kept, (VALUES ('low', 'old', 0), ('middle', 'odd', 1), ('high', 'public', 2)) v(risk, flag, ix)),
+decided_spans AS (SELECT doc_id, label, s, e, any_value(text) AS text, arg_max(risk, {{'l': logit, 'i': -ix}}) AS risk, max(exp(logit)) / sum(exp(logit)) AS share, string_agg(flag, '+' ORDER BY (1 / (1 + exp(-logit)))::FLOAT DESC, flag) FILTER ((1 / (1 + exp(-logit)))::FLOAT >= 0.6::FLOAT) AS flags FROM asked GROUP BY doc_id, label, s, e),
+lines AS (SELECT doc_id, label, string_agg(concat_ws('|', text, s::VARCHAR, risk, printf('%.6f', share::FLOAT::DOUBLE), coalesce(flags, '')), chr(10) ORDER BY s) AS line, count(*) AS n FROM decided_spans GROUP BY doc_id, label)""", "enough") + """
+SELECT d.doc_id, coalesce(max(line) FILTER (label = 'email'), '') AS email, coalesce(max(line) FILTER (label = 'phone_number'), '') AS phone_number, coalesce(max(n) FILTER (label = 'ip_address'), 0)::BIGINT AS ip_addresses
+FROM docs d LEFT JOIN lines l ON d.doc_id = l.doc_id GROUP BY d.doc_id"""
+
+
+def _record_ctes(labels: list[str], anchor: str, threshold: float) -> str:
+    """CTEs ending in ``cells`` (doc_id, inst, field, cand, s, e, text, own, logit): seeds that became records, with every candidate."""
+    return f"""{DOCS}, {labelled(labels)},
+distinct_spans AS (SELECT DISTINCT doc_id, s, e, text, score FROM spans), pool AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) - 1 AS cand FROM (SELECT * FROM distinct_spans QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s, e) <= 64)),
+named AS (SELECT DISTINCT doc_id, label AS field, s, e FROM spans),
+seeds AS (SELECT p.*, 1 / (1 + exp(-((length(p.text) % 8 - 2) / 8))) AS p FROM pool p JOIN named n ON p.doc_id = n.doc_id AND p.s = n.s AND p.e = n.e AND n.field = {q(anchor)}),
+begun AS (SELECT doc_id, cand AS inst, s AS first, e AS last, p, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, cand) - 1 AS record_ix FROM seeds WHERE p::FLOAT >= {threshold}::FLOAT),
+cells AS (SELECT c.doc_id, c.inst, f.field, o.cand, o.s, o.e, o.text, CASE WHEN n.field IS NULL THEN 0 ELSE o.score END AS own, CASE WHEN n.field IS NULL THEN -6 ELSE (16 - least(floor(greatest(c.first - o.e, o.s - c.last, 0) / 8), 40)) / 8 END AS logit
+ FROM begun c JOIN pool o ON o.doc_id = c.doc_id CROSS JOIN (VALUES {', '.join(f'({q(x)})' for x in labels)}) f(field) LEFT JOIN named n ON n.doc_id = o.doc_id AND n.s = o.s AND n.e = o.e AND n.field = f.field)"""
+
+
+def _records_request() -> str:
+    ctes = _record_ctes(["email", "phone_number", "ip_address"], "email", 0.4)
+    rows = """likely AS (SELECT doc_id, inst, field, cand, s, e, text, own, 1 / (1 + exp(-logit)) AS score FROM cells WHERE field = 'phone_number'),
+shares AS (SELECT *, exp(logit) / (1 + sum(exp(logit)) OVER (PARTITION BY doc_id, inst)) AS score FROM cells WHERE field = 'ip_address'),
+single AS (SELECT doc_id, inst, field, cand, s, e, text, own, score FROM shares WHERE logit > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, inst ORDER BY logit DESC, cand) = 1),
+assigned AS (SELECT * FROM likely WHERE score::FLOAT >= 0.4::FLOAT UNION ALL SELECT * FROM single WHERE score::FLOAT >= 0.4::FLOAT),
+values_ AS (SELECT c.doc_id, c.inst, 'email' AS field, p.s, p.e, p.text, least(p.score, c.p::FLOAT) AS score FROM begun c JOIN pool p ON p.doc_id = c.doc_id AND p.cand = c.inst
+ UNION ALL SELECT doc_id, inst, field, s, e, text, least(own, score::FLOAT) FROM assigned WHERE own >= 0.4::FLOAT AND (field <> 'phone_number' OR least(own, score::FLOAT) >= 0.6::FLOAT)),
+slots AS (SELECT doc_id, inst || ':' || field AS label, s, e, text, score::FLOAT AS score FROM values_)"""
+    tail = """, firsts AS (SELECT *, split_part(label, ':', 1)::INTEGER AS inst, split_part(label, ':', 2) AS field FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, label, lower(text) ORDER BY score DESC, s, e) = 1),
+shown AS (SELECT *, text || '|' || printf('%.6f', score::DOUBLE) AS line, row_number() OVER (PARTITION BY doc_id, label ORDER BY score DESC, s, e) AS r FROM firsts)"""
+    return resolved(f"{ctes}, {rows}", "flat", tail, "slots") + """ SELECT c.doc_id, c.record_ix::INTEGER AS record_ix, max(line) FILTER (field = 'email' AND r = 1) AS email, coalesce(string_agg(line, ';' ORDER BY r) FILTER (field = 'phone_number'), '') AS phone_numbers, max(line) FILTER (field = 'ip_address' AND r = 1) AS ip_address
+FROM begun c JOIN shown s ON s.doc_id = c.doc_id AND s.inst = c.inst GROUP BY c.doc_id, c.record_ix"""
+
+
+def _choices_request() -> str:
+    words = ["the", "der", "le", "none"]
+    score = "((24 + (length(choice) * 7) % 40) / 64)::FLOAT"
+    listed = ", ".join(f"({q(c)}, {i})" for i, c in enumerate(words))
+    run = r"[\p{L}\p{N}_]+"
+    return f"""WITH {_record_ctes(['amount'], 'amount', 0.5)},
+runs AS (SELECT doc_id, regexp_extract_all(body, {q(run)}, 0) AS wholes, string_split_regex(body, {q(run)}) AS gaps FROM docs),
+run AS (SELECT doc_id, unnest(range(0, len(wholes))) AS i, unnest(wholes) AS word, unnest(gaps[1:len(wholes)]) AS gap FROM runs WHERE len(wholes) > 0),
+word_at AS (SELECT doc_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS e FROM run),
+listed AS (SELECT * FROM (VALUES {listed}) c(choice, ix)), mentions AS (SELECT doc_id, choice, ix, (e - length(word))::INTEGER AS s, e FROM word_at JOIN listed ON lower(word) = choice),
+owned AS (SELECT m.*, coalesce((SELECT arg_max(c.inst, {{'s': c.first, 'i': c.inst}}) FROM begun c WHERE c.doc_id = m.doc_id AND c.first <= m.s), (SELECT arg_min(c.inst, {{'s': c.first, 'i': c.inst}}) FROM begun c WHERE c.doc_id = m.doc_id)) AS inst FROM mentions m),
+bound AS (SELECT * FROM owned WHERE inst IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, inst, choice ORDER BY s, ix) = 1),
+near AS (SELECT b.doc_id, b.inst, choice, s FROM bound b JOIN begun c ON c.doc_id = b.doc_id AND c.inst = b.inst QUALIFY row_number() OVER (PARTITION BY b.doc_id, b.inst ORDER BY greatest(first - e, s - last, 0), s, ix) = 1),
+guess AS (SELECT choice FROM listed WHERE {score} >= 0.4::FLOAT ORDER BY {score} DESC, ix LIMIT 1),
+word AS (SELECT c.doc_id, c.inst, coalesce(n.choice, CASE WHEN m.doc_id IS NULL THEN (SELECT choice FROM guess) END) AS choice, n.s FROM begun c LEFT JOIN near n ON n.doc_id = c.doc_id AND n.inst = c.inst LEFT JOIN (SELECT DISTINCT doc_id FROM mentions) m ON m.doc_id = c.doc_id)
+SELECT c.doc_id, c.record_ix::INTEGER AS record_ix, p.text AS amount, w.choice AS word, w.s AS word_start, round({score}::DOUBLE, 5) AS confidence FROM begun c JOIN pool p ON p.doc_id = c.doc_id AND p.cand = c.inst JOIN word w ON w.doc_id = c.doc_id AND w.inst = c.inst"""
+
+
+JSON = "application/json"
+#: Requests around a document's text (TEXT is its field): body, content type, and the parameter that the service names, or None where it accepts.
+REQUESTS = [
+    ('{TEXT, "entities": ["name"]}', JSON, None),
+    ('{"text": "  ", "entities": ["name"]}', JSON, "text"),
+    ('{TEXT, "entities": ["name"], "threshold": 1.5}', JSON, "threshold"),
+    ('{TEXT, "entities": ["name"], "overlap": "sideways"}', JSON, "overlap"),
+    ('{TEXT}', JSON, "schema"),
+    ('{TEXT, "classify": ["oops"]}', JSON, "schema"),
+    ('{TEXT, "relations": ["r"]}', JSON, "schema"),
+    ('{TEXT, "entities": ["name"], "bogus": 1}', JSON, "body"),
+    ("{nope", JSON, "body"),
+    ('{TEXT, "entities": ["name"]}', "text/plain", "Content-Type"),
+    ('{TEXT, "entities": ["name"], "model": "other"}', JSON, "model"),
+    ('{TEXT, "entities": ["name"], "model": "multi", "overlap": "Keep-Longest", "threshold": 1, "max_words": 5}', JSON, None),
+    ('{TEXT, "entities": ["name"]}', "application/vnd.api+json; charset=utf-8", None),
+    ('{TEXT, "entities": ["name"]}', "application/jsonfoo", "Content-Type"),
+    ('{TEXT, "entities": ["name"]}', None, None),
+    ('{"text": 5, "entities": ["name"]}', JSON, "body"),
+    ('{"entities": ["name"]}', JSON, "body"),
+    ('{TEXT, "entities": ["name"], "threshold": "high"}', JSON, "body"),
+    ('{TEXT, "entities": ["name", 1]}', JSON, "body"),
+    ('{TEXT, "entities": null}', JSON, "body"),
+    ('{TEXT, "entities": ["name"], "max_words": -1}', JSON, "body"),
+    ('{TEXT, "entities": ["name"], "spans": 1}', JSON, "body"),
+    ('{TEXT, "entities": ["name"], "overlap": null, "model": null, "max_words": null}', JSON, None),
+    ('[1, 2]', JSON, "body"),
+    ('{TEXT, "json": ["oops"], "classify": []}', JSON, "schema"),
+    ('{TEXT, "entities": ["name"], "threshold": 2, "overlap": "sideways"}', JSON, "threshold"),
+]
+
+
+def _request_sql() -> str:
+    """The expected answers as a table; a blank text is named unless something before it is wrong."""
+    rows = ", ".join(f"({i}, {q(param) if param else 'NULL'})" for i, (_, _, param) in enumerate(REQUESTS))
+    return f"""WITH answers(k, param) AS (VALUES {rows}), named AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '^\\s*$') AND coalesce(param, '') NOT IN ('body', 'Content-Type', 'model') THEN 'text' ELSE param END AS param
+ FROM documents JOIN answers ON doc_id % {len(REQUESTS)} = k) SELECT doc_id, CASE WHEN param IS NULL THEN 200 ELSE 422 END AS status, param FROM named"""
+
+
 _ALLOWED = "e IS NOT NULL"
 _QUESTION = f"""WITH {DOCS}, rows AS ({label_rows('docs', 'doc_id', CUES['topic'])}), shares AS (SELECT doc_id, label, ix, score::DOUBLE / sum(score::DOUBLE) OVER (PARTITION BY doc_id) AS p FROM rows)
 SELECT doc_id, round(sum(ix * p), 6) AS level, round(max(p), 6) AS level_confidence, arg_max(label, {{'p': p, 'i': -ix}}) AS choice, round(max(p) FILTER (ix = 0), 6) AS yes FROM shares GROUP BY doc_id"""
@@ -232,15 +324,15 @@ SELECT doc_id, round(sum(ix * p), 6) AS level, round(max(p), 6) AS level_confide
 ORACLE_SQL: dict[str, str] = {
     "tokenize_words": words_sql(WORDS),
     "tokenize_chars": words_sql(CHARS),
-    "text_prepare": f"""WITH {DOCS}, w AS (SELECT doc_id, regexp_extract_all(CASE WHEN body = '' THEN '.' WHEN regexp_matches(body, '[.!?]$') THEN body ELSE body || '.' END, {q(WORDS)}, 0)[1:12] AS words FROM docs)
-SELECT doc_id, array_to_string(list_transform(words, LAMBDA x: lower(x)), ' ') AS model_words, len(words)::BIGINT AS n_words FROM w""",
-    "text_prepare_whole": f"""WITH {DOCS}, w AS (SELECT doc_id, regexp_extract_all(CASE WHEN body = '' THEN '.' WHEN regexp_matches(body, '[.!?]$') THEN body ELSE body || '.' END, {q(WORDS)}, 0) AS words FROM docs)
+    "text_prepare": f"""WITH {DOCS}, w AS (SELECT doc_id, regexp_extract_all(CASE WHEN body = '' THEN '.' WHEN regexp_matches(body, '[.!?]$') THEN body ELSE body || '.' END, {q(WORDS)}, 0) AS words FROM docs)
 SELECT doc_id, array_to_string(list_transform(words, LAMBDA x: lower(x)), ' ') AS model_words, len(words)::BIGINT AS n_words FROM w""",
+    "text_first_words": f"""WITH {DOCS}, w AS (SELECT doc_id, body, regexp_extract_all(body, {q(WORDS)}, 0) AS words, string_split_regex(body, {q(WORDS)}) AS gaps FROM docs JOIN documents USING (doc_id) WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN '' ELSE array_to_string(list_transform(range(1, least(len(words), 12) + 1), LAMBDA i: gaps[i] || words[i]), '') END AS cut FROM w) SELECT doc_id, length(cut)::INTEGER AS n_chars, md5(cut) AS cut_md5 FROM cut""",
     "chunk_documents": f"WITH {chunk_ctes()} SELECT doc_id, chunk_ix::INTEGER AS chunk_ix, chunk_start::INTEGER AS start_char, length(body)::BIGINT AS n_chars, md5(body) AS text_md5 FROM chunks",
     "span_enumerate": f"""WITH {DOCS}, n AS (SELECT doc_id, len(regexp_extract_all(body, {q(WORDS)}, 0)) AS n FROM docs), starts AS (SELECT doc_id, n, unnest(range(0, n)) AS s FROM n), spans AS (SELECT doc_id, s, unnest(range(s + 1, least(s + 8, n) + 1)) AS e FROM starts)
 SELECT doc_id, count(*)::BIGINT AS n_spans, sum(s * 41 + e)::BIGINT AS checksum FROM spans GROUP BY doc_id""",
     "entities_threshold": entities_sql(PII, "CASE label WHEN 'email' THEN 0.4 WHEN 'phone_number' THEN 0.7 ELSE 0.5 END"),
-    "entities_abstained": f"WITH {DOCS}, {labelled(PII)} SELECT {RESULT} FROM spans WHERE doc_id % 3 > 0 AND NOT 1 / (1 + exp(-(doc_id % 7 - 3)::DOUBLE)) > 0.75",
+    "entities_abstained": f"WITH {DOCS}, {labelled(PII)} , counted AS (SELECT doc_id FROM spans GROUP BY doc_id HAVING count(*) // 2 > 0) SELECT {RESULT} FROM spans JOIN counted USING (doc_id) JOIN docs USING (doc_id) WHERE NOT 1 / (1 + exp(-(length(body) % 7 - 3)::DOUBLE)) > 0.75",
     "entities_validated": entities_sql(PII[:3] + PII[4:], "0.3", "CASE label WHEN 'email' THEN regexp_matches(text, '(?i)^(?:[a-z0-9.]+@mail[0-9]\\.example\\.(com|net|org))$') WHEN 'ip_address' THEN NOT regexp_matches(text, '^10\\.') WHEN 'phone_number' THEN contains(text, '555') ELSE TRUE END"),
     **{f"overlap_{p.value}": overlap_sql(p.value) for p in OverlapPolicy},
     "overlap_greedy": overlap_sql("greedy"),
@@ -273,6 +365,9 @@ SELECT step, count(*) FILTER (score >= (step / 8)::FLOAT AND quality = 1) AS goo
     "records_natural": f"WITH {RECORDS}, rows AS (SELECT doc_id, inst, 'key' AS field, inst AS cand, p AS score FROM chosen UNION ALL SELECT * FROM {FIELDS}) SELECT {RECORD_ROW} FROM rows JOIN chosen USING (doc_id, inst)",
     "records_latent": f"""WITH {RECORDS}, rows AS (SELECT * FROM {FIELDS} JOIN chosen USING (doc_id, inst)), keys AS (SELECT doc_id, inst, p, list_sort(list({{'f': field, 'c': cand}})) AS key FROM rows GROUP BY doc_id, inst, p),
 firsts AS (SELECT doc_id, inst FROM keys QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY p DESC, inst) = 1) SELECT {RECORD_ROW} FROM rows SEMI JOIN firsts USING (doc_id, inst)""",
+    "extract_attributes": _attributes_request(),
+    "extract_records": _records_request(),
+    "choice_values": _choices_request(),
     "long_entities": resolved(
         f"{chunk_ctes()}, {matches('chunks', 'doc_id, chunk_ix, chunk_start', [(x, p) for x in PII for p in PATTERNS[x]]).replace('each AS', 'each_match AS').replace('FROM each)', 'FROM each_match)')}, moved AS (SELECT doc_id, label, (s + chunk_start)::INTEGER AS s, (e + chunk_start)::INTEGER AS e, text, score FROM spans)",
         "flat", "", "moved",
@@ -287,15 +382,8 @@ SELECT {EDGE} FROM edges QUALIFY row_number() OVER (PARTITION BY doc_id, hs, he,
     "pool_topk_pairs": pool_sql(False, 10),
     "pool_quota_union": pool_sql(True, 12),
     "interval_mean": """WITH rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ix, round(value * 100) AS cents FROM events)
-SELECT user_id, (ix // 5) * 5 AS first_ix, round(avg(cents), 4) AS mean FROM rows GROUP BY user_id, ix // 5 HAVING count(*) = 5""",
-    "interval_mean_whole": """WITH rows AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ix, round(value * 100) AS cents FROM events)
 SELECT user_id, (ix // 5) * 5 AS first_ix, round(avg(cents), 4) AS mean FROM rows GROUP BY user_id, ix // 5""",
-    "score_functions": """WITH rows AS (SELECT vec_id, list_transform(embedding[1:6], LAMBDA x: round(x::DOUBLE, 5)) AS v FROM embeddings), p AS (SELECT *, list_transform(v, LAMBDA x: exp(x)) AS r FROM rows), d AS (SELECT *, (vec_id % 200 - 100) AS g FROM p)
-SELECT vec_id, round(list_max(r) / list_sum(r), 6) AS top, (list_position(v, list_max(v)) - 1)::INTEGER AS best, round(list_sum(list_transform(range(1, 7), LAMBDA i: (i - 1) * r[i])) / list_sum(r), 6) AS level, round(list_sum(list_transform(v, LAMBDA x: x * x)), 6) AS norm2,
- round(ln(1 + (vec_id % 50 + 1)), 6) AS log_length, round(1 / sqrt(vec_id % 50 + 1), 6) AS inverse_root,
- (CASE WHEN abs(g) <= 16 THEN g ELSE sign(g) * (ceil(ln(abs(g) / 16) / ln(127 / 16) * 15) + 16) END)::INTEGER AS bucket,
- round(0.8 ** 5 * v[1] + 0.2 * (0.8 ** 4 * v[2] + 0.8 ** 3 * v[3] + 0.8 ** 2 * v[4] + 0.8 * v[5] + v[6]), 6) AS smoothed FROM d""",
-    "score_functions_whole": """WITH rows AS (SELECT vec_id, list_transform(embedding, LAMBDA x: round(x::DOUBLE, 5)) AS v FROM embeddings), p AS (SELECT *, list_transform(v, LAMBDA x: exp(x)) AS r FROM rows), d AS (SELECT *, (vec_id % 200 - 100) AS g FROM p)
+    "score_functions": """WITH rows AS (SELECT vec_id, list_transform(embedding, LAMBDA x: round(x::DOUBLE, 5)) AS v FROM embeddings), p AS (SELECT *, list_transform(v, LAMBDA x: exp(x)) AS r FROM rows), d AS (SELECT *, (vec_id % 200 - 100) AS g FROM p)
 SELECT vec_id, round(list_max(r) / list_sum(r), 6) AS top, (list_position(v, list_max(v)) - 1)::INTEGER AS best, round(list_sum(list_transform(range(1, len(r) + 1), LAMBDA i: (i - 1) * r[i])) / list_sum(r), 6) AS level, round(list_sum(list_transform(v, LAMBDA x: x * x)), 6) AS norm2,
  round(ln(1 + (vec_id % 50 + 1)), 6) AS log_length, round(1 / sqrt(vec_id % 50 + 1), 6) AS inverse_root,
  (CASE WHEN abs(g) <= 16 THEN g ELSE sign(g) * (ceil(ln(abs(g) / 16) / ln(127 / 16) * 15) + 16) END)::INTEGER AS bucket,
@@ -305,8 +393,7 @@ SELECT vec_id, round(list_max(r) / list_sum(r), 6) AS top, (list_position(v, lis
     "events_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "page_links": "SELECT page_id, len(x)::BIGINT AS n_links, md5(array_to_string(x, chr(10))) AS links_md5 FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS x FROM pages)",
     "text_lines": "SELECT doc_id, ix::INTEGER AS ix, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS ix, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '^\\s*$')",
-    "request_validation": """SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 415 WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 7 = 0 THEN 422 ELSE 200 END AS status,
-CASE WHEN doc_id % 17 = 0 OR doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'text' WHEN doc_id % 5 = 0 THEN 'threshold' WHEN doc_id % 3 = 0 THEN 'overlap' WHEN doc_id % 7 = 0 THEN 'schema' END AS param FROM documents""",
+    "request_validation": _request_sql(),
     "render_classification": f"""WITH {DOCS}, rows AS ({label_rows('docs', 'doc_id', CUES['topic'])}), marked AS (SELECT *, score >= 0.25::FLOAT OR row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ix) = 1 AS yes FROM rows)
 SELECT doc_id, replace(replace(replace(any_value(body), chr(9), ' '), chr(13), ' '), chr(10), ' ') || chr(9) || 'topic: ' || string_agg(CASE WHEN yes THEN '*' ELSE '' END || label || printf(' (%.3f)', score::DOUBLE), ', ' ORDER BY ix) AS line FROM marked JOIN docs USING (doc_id) GROUP BY doc_id""",
 }

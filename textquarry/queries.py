@@ -11,7 +11,8 @@ from . import oracle
 from .functions import scores as S
 from .functions import text as T
 from .operators import attributes, choices, classify, entities, guardrails, longdoc, pool, questions, records, relations, spans
-from .schema import AttributeGroup, Cardinality, ChunkOptions, EntitySpec, ExtractOptions, OverlapPolicy, RegexValidator
+from .plans.extraction import extract
+from .schema import STR, AttributeGroup, Cardinality, ChunkOptions, EntitySpec, ExtractOptions, FieldSpec, OverlapPolicy, RegexValidator, Schema, StructureSpec
 from .scorers.lexical import LexicalScorer
 from .scorers.rule import RuleScorer
 from .scorers.vector import VectorScorer
@@ -50,37 +51,43 @@ def shown(rows: DataFrame) -> DataFrame:
 # ---- text -------------------------------------------------------------------------------------------------------
 
 
-def _digest(words: DataFrame) -> DataFrame:
-    item = F.sort_array(F.collect_list(F.struct("ix", "word")))
-    weight = F.col("start").cast("long") * (F.col("ix") % 1000 + 1) + F.col("end")
-    return words.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_words"), F.sum(weight).alias("offsets"), F.md5(F.array_join(F.transform(item, lambda x: x["word"]), "\x1f").cast("binary")).alias("words_md5"))
+def _digest(docs: DataFrame, splitter: str = "whitespace") -> DataFrame:
+    """Counts, offsets and words of a text as one row, made inside the row by one fold over its words."""
+
+    def digest(led: Column) -> Column:
+        pairs = F.transform(led, lambda w, i: F.struct((i % 1000 + 1).alias("k"), F.length(w).alias("n"), F.length(T.unled(w)).alias("m")))
+        add = lambda s, w: F.struct((s["at"] + w["n"]).alias("at"), (s["sum"] + (s["at"] + w["n"] - w["m"]) * w["k"] + s["at"] + w["n"]).alias("sum"))
+        zero = F.lit(0).cast("long")
+        offsets = F.aggregate(pairs, F.struct(zero.alias("at"), zero.alias("sum")), add, lambda s: s["sum"])
+        return F.struct(F.size(led).cast("long").alias("n_words"), offsets.alias("offsets"), F.md5(F.array_join(F.transform(led, T.unled), "\x1f").cast("binary")).alias("words_md5"))
+
+    made = F.explode_outer(F.array(T.let(T.led_words(F.col("text"), splitter), digest)))  # so that no filter is pushed below it
+    return docs.where("text is not null").select("doc_id", made.alias("x")).select("doc_id", "x.*").where("n_words > 0")
 
 
 @query
 def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(T.word_table(documents(spark, sf_dir)))
+    return _digest(documents(spark, sf_dir))
 
 
 @query
 def tokenize_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(T.word_table(documents(spark, sf_dir), splitter="char"))
-
-
-def _prepared(spark: SparkSession, sf_dir: str, max_words: int | None = None) -> DataFrame:
-    words = T.words(T.with_end_mark(F.coalesce("text", F.lit(""))), max_words=max_words)
-    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(words, F.lower), " ").alias("model_words"), F.size(words).cast("long").alias("n_words"))
+    return _digest(documents(spark, sf_dir), "char")
 
 
 @query
 def text_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word cap: the first twelve words, as its SQL has them; ``text_prepare_whole`` has all words and the end mark."""
-    return _prepared(spark, sf_dir, 12)
+    """Lower-cased words of whole texts, with the end mark."""
+    words = T.words(T.with_end_mark(F.coalesce("text", F.lit(""))))
+    rows = documents(spark, sf_dir).select("doc_id", words.alias("words"))
+    return rows.select("doc_id", F.array_join(F.transform("words", F.lower), " ").alias("model_words"), F.size("words").cast("long").alias("n_words"))
 
 
 @query
-def text_prepare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower-cased words of whole texts, with the end mark."""
-    return _prepared(spark, sf_dir)
+def text_first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word cap of a request: where the twelfth word of each text ends, if it has as many."""
+    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", T.first_words(F.col("text"), 12).alias("cut"))
+    return rows.select("doc_id", F.length("cut").alias("n_chars"), F.md5(F.col("cut").cast("binary")).alias("cut_md5"))
 
 
 @query
@@ -106,11 +113,10 @@ def entities_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def entities_abstained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstention and the count gate; both from the number of characters, for want of a model."""
-    docs = table(spark, sf_dir, "documents")
+    """Abstention, from the number of characters, and the count gate, from the number of matches in pairs, for want of a model."""
     rows = found(spark, sf_dir, PII)
-    nulls = docs.select("doc_id", F.explode(F.array(*[F.lit(x) for x in PII])).alias("label"), (F.col("doc_id") % 7 - 3).cast("double").alias("null_logit"))
-    counts = docs.select("doc_id", (F.col("doc_id") % 3).alias("count_class"))
+    nulls = documents(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.lit(x) for x in PII])).alias("label"), (F.length("text") % 7 - 3).cast("double").alias("null_logit"))
+    counts = rows.groupBy("doc_id").agg(F.floor(F.count(F.lit(1)) / 2).alias("count_class"))
     return shown(entities.where_counted(entities.without_abstained(rows, nulls, 0.75), counts))
 
 
@@ -263,7 +269,7 @@ ROLES = [("contact_mail", "head", "name"), ("contact_mail", "tail", "email"), ("
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = spark.createDataFrame(ROLES, "relation string, role string, label string")
-    return relations.propose_pairs(entities.above_threshold(found(spark, sf_dir, ["name", "email", "phone_number"]), [], ExtractOptions(threshold=0.0)), roles, 6, 6, 12, 0.6)
+    return relations.propose_pairs(entities.above_threshold(found(spark, sf_dir, ["name", "email", "phone_number"]), [], ExtractOptions(threshold=0.0)), roles, threshold=0.6)
 
 
 def _edges(rows: DataFrame) -> DataFrame:
@@ -374,6 +380,41 @@ def record_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record_rows(records.decode_records(objects, assign, [records.RecordField("single", Cardinality.REQUIRED_ONE, True)]))
 
 
+# ---- whole requests -----------------------------------------------------------------------------------------------
+
+
+@query
+def extract_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with two groups of attributes, through a request."""
+    groups = {"risk": AttributeGroup(("low", "middle", "high"), applies_to=("email", "phone_number")), "flags": AttributeGroup(("old", "odd", "public"), True, 0.6, qualify_labels=True)}
+    schema = Schema().with_entities("email", "phone_number", "ip_address").with_attributes(**groups)
+    out = extract(documents(spark, sf_dir), schema, RuleScorer(), options=ExtractOptions(threshold=0.4, include_spans=True))
+    mention = lambda x: F.concat_ws("|", x["text"], x["start"].cast("string"), x["attributes"]["risk"]["label"], F.format_string("%.6f", x["attributes"]["risk"]["confidence"].cast("double")), F.array_join(F.transform(x["attributes"]["flags"], lambda f: f["label"]), "+"))
+    rows = [F.array_join(F.transform(F.array_sort(F.transform(f"entities.{x}", lambda m: F.struct(m["start"].alias("s"), m.alias("m")))), lambda m: mention(m["m"])), "\n").alias(x) for x in ("email", "phone_number")]
+    return out.select("doc_id", *rows, F.size("entities.ip_address").cast("long").alias("ip_addresses"))
+
+
+@query
+def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural records through a request: contacts around mail addresses, with the phone numbers and the address near each."""
+    spec = StructureSpec("contact", (FieldSpec("email", STR), FieldSpec("phone_number", threshold=0.6), FieldSpec("ip_address", STR)))
+    out = extract(documents(spark, sf_dir), Schema().with_structure(spec), RuleScorer(), options=ExtractOptions(threshold=0.4))
+    rows = out.select("doc_id", F.posexplode("contact").alias("record_ix", "x"))
+    one = lambda c: F.concat_ws("|", F.col(f"x.{c}.text"), F.format_string("%.6f", F.col(f"x.{c}.confidence").cast("double")))
+    phones = F.array_join(F.transform("x.phone_number", lambda m: F.concat_ws("|", m["text"], F.format_string("%.6f", m["confidence"].cast("double")))), ";")
+    return rows.select("doc_id", "record_ix", one("email").alias("email"), phones.alias("phone_numbers"), F.when(F.col("x.ip_address").isNotNull(), one("ip_address")).alias("ip_address"))
+
+
+@query
+def choice_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field with choices: literal mentions near the record's anchor, else surfaces that equal a choice, else the choices' own scores."""
+    words = ("the", "der", "le", "none")
+    spec = StructureSpec("line", (FieldSpec("amount", STR), FieldSpec("word", STR, words, threshold=0.4)))
+    out = extract(documents(spark, sf_dir), Schema().with_structure(spec), RuleScorer(), options=ExtractOptions(threshold=0.5))
+    rows = out.select("doc_id", F.posexplode("line").alias("record_ix", "x"))
+    return rows.select("doc_id", "record_ix", F.col("x.amount.text").alias("amount"), F.col("x.word.text").alias("word"), F.col("x.word.start").alias("word_start"), F.round(F.col("x.word.confidence").cast("double"), 5).alias("confidence"))
+
+
 # ---- long documents -----------------------------------------------------------------------------------------------
 
 
@@ -417,7 +458,7 @@ def _boundaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "x"))
     starts = rows.select("vec_id", "position", F.round(F.col("x").cast("double"), 4).alias("score"))
     ends = starts.select("vec_id", "position", F.round(-F.col("score"), 4).alias("score"))
-    own = rows.where("position < 60").select("vec_id", (F.col("position") % 2).alias("q"), F.col("position").alias("start"), (F.col("position") + F.col("position") % 4 + 1).alias("end"), F.round(F.abs("x").cast("double"), 4).alias("score"))
+    own = rows.select("vec_id", (F.col("position") % 2).alias("q"), F.col("position").alias("start"), (F.col("position") + F.col("position") % 4 + 1).alias("end"), F.round(F.abs("x").cast("double"), 4).alias("score"))
     return starts, ends, own
 
 
@@ -434,30 +475,20 @@ def pool_quota_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("score", 4).alias("score"), F.col("slot").cast("long").alias("slot"))
 
 
-def _interval_mean(spark: SparkSession, sf_dir: str, to_the_end: bool) -> DataFrame:
+@query
+def interval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over runs of five events of a user, the last run to the user's last event, from running sums of whole numbers."""
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ix = F.row_number().over(by_time) - 1
     rows = table(spark, sf_dir, "events").select("user_id", ix.alias("ix"), F.round(F.col("value") * 100).alias("cents"), F.lead(F.lit(1)).over(by_time).isNull().alias("last"))
-    closing = (F.col("ix") % 5 == 4) | (F.col("last") & F.lit(to_the_end))
-    intervals = rows.where(closing).select("user_id", (F.col("ix") - F.col("ix") % 5).alias("start"), (F.col("ix") + 1).alias("end"))
+    intervals = rows.where("ix % 5 = 4 or last").select("user_id", (F.col("ix") - F.col("ix") % 5).alias("start"), (F.col("ix") + 1).alias("end"))
     return S.interval_mean(rows.drop("last"), ["user_id"], "ix", "cents", intervals).select("user_id", F.col("start").cast("long").alias("first_ix"), F.round("mean", 4).alias("mean"))
 
 
 @query
-def interval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over full runs of five events of a user, as its SQL has them; ``interval_mean_whole`` averages all events."""
-    return _interval_mean(spark, sf_dir, False)
-
-
-@query
-def interval_mean_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over runs of five events of a user, the last run to the user's last event, from running sums of whole numbers."""
-    return _interval_mean(spark, sf_dir, True)
-
-
-def _vector_scores(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
-    v = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", (v if first is None else F.slice(v, 1, first)).alias("v"))
+def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions over whole vectors: softmax, argmax, dot products, length features, buckets, smoothing."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("v"))
     p = S.softmax(F.col("v"))
     n = (F.col("vec_id") % 50 + 1).cast("double")
     f = S.length_features(n, F.lit(50.0))
@@ -467,18 +498,6 @@ def _vector_scores(spark: SparkSession, sf_dir: str, first: int | None = None) -
     )
 
 
-@query
-def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar functions over the first six components of vectors, as its SQL has them; ``score_functions_whole`` takes all."""
-    return _vector_scores(spark, sf_dir, 6)
-
-
-@query
-def score_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar functions over whole vectors: softmax, argmax, dot products, length features, buckets, smoothing."""
-    return _vector_scores(spark, sf_dir)
-
-
 # ---- events, sources, sinks --------------------------------------------------------------------------------------
 
 
@@ -518,13 +537,16 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests made from documents, with the first thing that is wrong with each."""
-    n, quoted = F.col("doc_id"), F.to_json(F.array("text"))
-    body = F.concat(
-        F.lit('{"text": '), F.when(n % 11 == 0, F.lit('"  "')).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2)), F.lit(', "entities": '),
-        F.when(n % 7 == 0, F.lit("[]")).otherwise(F.lit('["name"]')), F.when(n % 5 == 0, F.lit(', "threshold": 1.5')).otherwise(F.lit("")), F.when(n % 3 == 0, F.lit(', "overlap": "sideways"')).otherwise(F.lit("")), F.when(n % 13 == 0, F.lit(', "extra": 1}')).otherwise(F.lit("}")),
-    )
-    checked = readers.validated_requests(documents(spark, sf_dir).select("doc_id", body.alias("body"), F.when(n % 17 == 0, "text/plain").otherwise("application/json").alias("content_type")))
+    """Requests made from documents, each with one of ``oracle.REQUESTS``' changes, and the first thing that is wrong with it."""
+    quoted = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    text, body, kind = quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (template, content_type, _) in enumerate(oracle.REQUESTS):
+        mine = F.col("doc_id") % len(oracle.REQUESTS) == i
+        head, found, tail = template.partition("TEXT")
+        body = F.when(mine, F.concat(F.lit(head), text, F.lit(tail)) if found else F.lit(head)).otherwise(body)
+        kind = F.when(mine, F.lit(content_type).cast("string")).otherwise(kind)
+    made = documents(spark, sf_dir).select("doc_id", body.alias("body"), kind.alias("content_type"))
+    checked = readers.validated_requests(made, models=["multi"], supports=["entities", "classify"])
     return checked.select("doc_id", "status", F.col("error.param").alias("param"))
 
 
