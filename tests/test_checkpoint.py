@@ -224,3 +224,36 @@ def test_bad_files_are_refused(tmp_path):
         check_config(Checkpoint({"architecture": "boundary", "boundary_head": HEAD}, DEBERTA | {"pos_att_type": ["c2p"]}, ""))
     with pytest.raises(SchemaError):
         _ = Checkpoint({}, DEBERTA, "").architecture
+
+
+def test_a_request_s_every_kind_runs_on_a_checkpoint(spark, tmp_path):
+    from textquarry import api
+    from textquarry.schema import STR, AttributeGroup, ExtractOptions, FieldSpec, StructureMode, StructureSpec
+    from textquarry.scorers.weights import FILES, checkpoint_from_bytes
+
+    c = boundary_checkpoint()
+    more = {"record_dim": 5, "record_temperature": 1.0, "relation_temperature": 1.0, "directional_relation_states": True, "relation_heads_per_type": 4, "relation_tails_per_type": 4, "relation_pair_cap": 8, "relation_argument_proposal_threshold": 0.0}
+    c.config["boundary_head"] = c.config["boundary_head"] | more
+    r, d = "relation_scorer", "record_decoder"
+    shapes = lin(f"{r}.mlp.0", H, 4 * H + 2 * H + 2) | lin(f"{r}.mlp.3", 1, H) | lin(f"{r}.head_content_projection", H, H) | lin(f"{r}.tail_content_projection", H, H) | lin(f"{r}.relation_content_gate", H, 2 * H) | lin(f"{r}.content_linear", 1, 4 * H)
+    shapes |= {f"{d}.null_embed": (5,), f"{d}.instance_embed": (3, H)} | lin(f"{d}.inst_proj", 5, H) | lin(f"{d}.field_proj", 5, H) | lin(f"{d}.cand_proj", 5, H) | lin(f"{d}.object_head", 1, H) | lin(f"{d}.latent_seed_head", 1, H) | lin(f"{d}.q_proj", 5, H) | lin(f"{d}.k_proj", 5, H) | lin(f"{d}.v_proj", H, H)
+    c.tensors = c.tensors | random_tensors(shapes, 3)
+    save(tmp_path / "m", c)
+    text = "Ann went to Rome and was glad"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    schema = Schema().with_entities("name", "city").with_attributes(mood=AttributeGroup(("sad", "glad"))).with_relations("went")
+    for name, mode in (("a", StructureMode.AUTO), ("b", StructureMode.LATENT), ("c", StructureMode.ANCHORLESS)):
+        schema = schema.with_structure(StructureSpec(name, (FieldSpec("name", STR), FieldSpec("city"), FieldSpec("mood", STR, ("sad", "glad"))), mode))
+    scorer = CheckpointScorer(str(tmp_path / "m"))
+    rows = {x["doc_id"]: x for x in api.extract(docs, schema, scorer, options=ExtractOptions(0.01)).collect()}
+    assert set(rows) == {1, 2} and rows[2]["entities"]["name"] == [] and rows[2]["a"] == []
+    found = [m for x in ("name", "city") for m in rows[1]["entities"][x]]
+    assert found and all(m["attributes"]["mood"]["label"] in ("sad", "glad") and text[m["start"] : m["end"]].strip() == m["text"] for m in found)
+    assert rows[1]["relation_extraction"] and all(text[e["h_start"] : e["h_end"]].strip() == e["h_text"] for e in rows[1]["relation_extraction"]["went"])
+    shown = [m for s in "abc" for record in rows[1][s] for m in [record["name"], *record["city"]] if m]
+    assert shown and all(text[m["start"] : m["end"]].strip() == m["text"] and 0 <= m["confidence"] <= 1 for m in shown)
+    assert all(record["mood"] is None or record["mood"]["text"] in ("sad", "glad") for s in "abc" for record in rows[1][s])
+    held = checkpoint_from_bytes({f: (tmp_path / "m" / f).read_bytes() for f in FILES})
+    assert Model(held).span_scores(text, ["name"]) == Model(open_checkpoint(str(tmp_path / "m"))).span_scores(text, ["name"])
+    with pytest.raises(SchemaError, match="lacks"):
+        checkpoint_from_bytes({})
