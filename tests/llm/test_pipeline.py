@@ -100,3 +100,56 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 def test_queries_have_a_number_each():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "to", "ri", "se", "mo", "lu"]) for _ in range(3))
+    long = " ".join(word() for _ in range(150_000))
+    same = " ".join(word() for _ in range(40))
+    rows = [(1, long), (2, None), (3, ""), (None, same), (4, same), (4, same), (5, same), (6, " | ".join(word() for _ in range(30))), (7, "x"), (7, "y"), (8, "  \n ")]
+    rows += [(i, " ".join(word() for _ in range(30)) if i % 2 else " | ".join(word() for _ in range(30))) for i in range(20, 80)]
+    data = {"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [None] * len(rows), "source": [None if i % 2 else "s" for i in range(len(rows))], "n_chars": [None] * len(rows)}
+    data |= {name: [f"{name}{i}" for i in range(len(rows))] for name in ("gone", "host", "text_", "predicted", "score_", "id_", "component_id", "hit", "__hit")}
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in list(data)[5:]]])
+    pq.write_table(pa.table(data, kinds), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": list(range(20, 80)), "quality": [i % 2 for i in range(20, 80)], "toxic": [0] * 60}), tmp_path / "labels.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1, 2, 3], pa.int64()), "text": [None, "", " ".join(long.split(" ")[70_000:70_030])]}), tmp_path / "benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        assert out.columns == docs.columns and {r["gone"] for r in found} <= set(data["gone"])
+        kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in found)
+        if name == "lines":
+            assert len(found) == len(rows)
+        elif name == "near_duplicates":  # one document of equal ones stays, with its repeated rows; the row without id stays
+            assert kept.count(4) == 2 and 5 not in kept and kept.count(-1) == 1 and kept.count(7) == 2 and {1, 2, 3, 8} <= set(kept)
+        else:
+            assert 1 not in kept and len(found) == len(rows) - 1
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert sum(r["start"] == 0 and r["doc_id"] == 4 for r in packed.collect()) == 2 and corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
+    assert all((i in kept) == bool(i % 2) for i in range(20, 80)) and corpus_pipeline.STAGES[0][1](spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_scratch_is_shared_and_goes(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from textquarry.llm import scratch
+
+    with scratch.temporary_tables(spark):
+        path = scratch.new_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    assert not scratch._made.get()
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path).count()
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        unset = SimpleNamespace(get=lambda key, default=None: default)
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(SimpleNamespace(conf=unset, sparkContext=context))

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = f"textquarry-{uuid.uuid4().hex[:12]}"
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -47,11 +54,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def tables(spark: SparkSession) -> set[str]:
-    """Paths of the tables in this process's folder."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return {str(x.getPath()) for x in files.listStatus(at)} if files.exists(at) else set()
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, what this thread has written by :func:`stored` inside the block."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            drop_path(spark, path)
 
 
 def unused_name(df: DataFrame, name: str) -> str:
