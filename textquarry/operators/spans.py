@@ -81,7 +81,7 @@ def heaviest_disjoint(items: Column) -> Column:
 
 
 #: Components of more spans are resolved by ``_heaviest_batches``: the expression's work grows with the cube of their number.
-FEW = 6
+FEW = 2
 
 
 def heaviest_choice(starts: list[int], ends: list[int], scores: list[float]) -> list[int]:
