@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return readers.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def found(spark: SparkSession, sf_dir: str, labels: list[str]) -> DataFrame:

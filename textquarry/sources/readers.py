@@ -19,6 +19,13 @@ def literal_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table that reads as fewer tasks than there are cores, as a small one or one of few large row groups does, dealt to all
+    of them; any other one as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def non_blank(lines: DataFrame, col: str = "value") -> DataFrame:
     """Without lines that are nothing but white space; the others keep theirs."""
     return lines.where(~F.col(col).rlike(r"(?U)^\s*\z"))
