@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
 from . import sql
 from .decontamination import benchmark_matches
 from .embedding_dup import embedding_duplicates
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -31,21 +36,21 @@ def tokenizer_path() -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = identify_languages(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    out = identify_languages(_documents(spark, sf_dir, "doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), with_ids=False)
+    return pack_documents(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), with_ids=False)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "source")
     return drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+    return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), k=4)
 
 
 def _of_kind(kind: str) -> Column:
@@ -53,14 +58,14 @@ def _of_kind(kind: str) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan_secrets(_documents(spark, sf_dir, "doc_id", "text"))
     kinds = [x[0] for x in BASE]
     base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
     return found.select("doc_id", *[_of_kind(k).alias(f"n_{k}") for k in kinds], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("secrets")).alias("spans"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return benchmark_matches(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
@@ -69,12 +74,12 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = proportional_shards(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = proportional_shards(_documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    out = score_quality(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
