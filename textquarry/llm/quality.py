@@ -72,10 +72,10 @@ def _fit(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ratio = np.log((counts[0] / counts[0].sum()) / (counts[1] / counts[1].sum()))
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     columns = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    values = ratio[columns]
-    length = np.sqrt(np.maximum(np.add.reduceat(np.append(values**2, 0.0), np.minimum(starts[:-1], len(values))), 1e-12)) if rows else np.ones(0)
-    lengths = np.diff(starts)
-    values = values / np.repeat(length, lengths)
+    values, square = ratio[columns], ratio**2
+    length = np.sqrt(np.maximum([square[r].sum() for r in rows], 1e-12))
+    for a, b, n in zip(starts[:-1].tolist(), starts[1:].tolist(), length.tolist(), strict=True):
+        values[a:b] /= n
     y = np.where(good, 1.0, -1.0)
     share = {True: good.mean() if len(good) else 0.5, False: 1 - good.mean() if len(good) else 0.5}
     cost = np.array([COST * 0.5 / max(share[bool(g)], 1e-6) for g in good])
