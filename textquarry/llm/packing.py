@@ -11,7 +11,8 @@ sizes, largest bands first, and does the following:
 3. Conflicts: documents that want one gap are served by rank. The first gets it, the others the next gaps up; what finds
    none waits for the next superstep. A gap that holds several documents of the band whatever their sizes is offered
    as often, so few supersteps are needed however small documents are.
-4. Gaps are updated. Documents larger than every gap open sequences in the next superstep.
+4. Gaps are updated. Before a superstep sequences are opened for documents larger than every gap, and, where a band's sizes are
+   close to one another, for as many documents as there are more than offers.
 
 The bands are shares of the capacity (``BANDS``). On all distributions tried the number of sequences is that of sequential
 best-fit decreasing or within 0.1 % of it. Only counts of size classes, at most ``capacity`` of them, reach the driver.
@@ -36,7 +37,9 @@ from .scratch import stored
 #: Rows of one size class ranked by one task, about.
 BUCKET_ROWS = 4000
 #: Where bands of sizes end, as divisors of the capacity: a sequence holds one document of the first band, two of the second, and so on.
-BANDS = (2, 3, 4, 6, 12, 32)
+BANDS = (2, 3, 4, 6, 16)
+#: New sequences in a row of the table that they are made from.
+OPENED = 100_000
 
 
 # How a byte-level vocabulary splits a text before merging.
@@ -246,26 +249,36 @@ class _Order:
                 depth -= docs[size]
 
 
-_STATE = "seq long, gap long, length long, rank long, offset long"
+def _table(spark, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of whole numbers, as data of the plan: the code made for a superstep's expressions is the same for all of them."""
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}))
 
 
-def _superstep(gaps: DataFrame, docs: DataFrame, order: _Order, buckets: int, first: dict[int, int], capacity: int) -> DataFrame:
-    """One sweep, as rows of ``_STATE``: a pair placed has its length, rank and offset, a gap what is left of it."""
-    spark = docs.sparkSession
+def _superstep(state: DataFrame | None, docs: DataFrame, gaps: dict[int, int], left: dict[int, int], first: dict[int, int], new: tuple[int, int], buckets: int, capacity: int) -> DataFrame:
+    """One sweep, as rows (seq, gap, length, rank, offset): a pair placed has its length, rank and offset, a gap what is left of it.
+
+    ``state``: the sweep before; ``gaps`` and ``left``: counts of the gaps of use and of the band's documents; ``first``: the least rank
+    of a size that is left; ``new``: the first new sequence and how many there are.
+    """
+    spark, order = docs.sparkSession, _Order(gaps, left)
     # both tables of classes have at most ``capacity`` rows, whatever the corpus's size
-    of_gaps = spark.createDataFrame([(g, *x) for g, x in order.gaps.items()], "gap long, depth long, offers long, n long")
-    of_docs = spark.createDataFrame([(n, d, first[n]) for n, d in order.docs.items()], "length long, depth long, first long")
-    hashed = gaps.select("seq", "gap", F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int").alias("bucket"))
-    offers = ranked(hashed, ["gap"], "bucket", ["seq"], "at").join(F.broadcast(of_gaps), "gap").where("at < n")
-    offers = offers.select("seq", "gap", F.explode(F.sequence(F.lit(0), F.col("offers") - 1)).alias("t"), "depth", "at", "offers")
-    pushed = offers.select((F.col("depth") + F.col("at") * F.col("offers") + F.col("t") + 1).alias("level"), F.least("gap", F.lit(order.most)).alias("size"), F.lit(0).alias("kind"), "seq", "gap", "t", F.lit(None).cast("long").alias("rank"))
-    popped = docs.join(F.broadcast(of_docs), "length").where("rank >= first")
+    of_gaps = _table(spark, ["gap", "depth", "offers", "n", "size"], [(g, *order.gaps.get(g, (0, 0, 0)), min(g, order.most)) for g in gaps])
+    of_docs = _table(spark, ["length", "depth", "first"], [(n, d, first[n]) for n, d in order.docs.items()])
+    opened = _table(spark, ["a", "b"], [(a, min(a + OPENED, sum(new)) - 1) for a in range(new[0], sum(new), OPENED)])
+    free = opened.select(F.explode(F.sequence("a", "b")).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+    free = free if state is None else state.select("seq", "gap").union(free)
+    free = free.join(F.broadcast(of_gaps), "gap")  # the others are too small for what is left
+    hashed = free.withColumn("bucket", F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int"))
+    offers = ranked(hashed, ["gap"], "bucket", ["seq"], "at").where("at < n")
+    offers = offers.select("seq", "gap", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("offers") - 1)).alias("t"), "depth", "at", "offers")
     none = F.lit(None).cast("long")
+    pushed = offers.select((F.col("depth") + F.col("at") * F.col("offers") + F.col("t") + 1).alias("level"), "size", F.lit(0).alias("kind"), "seq", "gap", "t", none.alias("rank"))
+    popped = docs.join(F.broadcast(of_docs), "length").where("rank >= first")
     popped = popped.select((F.col("depth") - (F.col("rank") - F.col("first"))).alias("level"), F.col("length").alias("size"), F.lit(1).alias("kind"), none.alias("seq"), none.alias("gap"), none.alias("t"), "rank")
     sweep = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
     before = lambda c: F.lag(c).over(sweep).alias(c)  # noqa: E731  null where the row before is no gap
     pairs = pushed.union(popped).select("kind", F.col("size").alias("length"), "rank", before("seq"), before("gap"), before("t")).where("kind = 1 and seq is not null")
-    both = pairs.select("seq", "gap", "t", "length", "rank").union(gaps.select("seq", "gap", none.alias("t"), none.alias("length"), none.alias("rank")))
+    both = pairs.select("seq", "gap", "t", "length", "rank").union(free.select("seq", "gap", none.alias("t"), none.alias("length"), none.alias("rank")))
     whole = Window.partitionBy("seq")
     earlier = whole.orderBy(F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     used, taken = F.coalesce(F.sum("length").over(earlier), F.lit(0)), F.coalesce(F.sum("length").over(whole), F.lit(0))
@@ -274,6 +287,28 @@ def _superstep(gaps: DataFrame, docs: DataFrame, order: _Order, buckets: int, fi
     return both.select("seq", F.when(~pair, F.col("gap") - F.col("taken")).alias("gap"), "length", "rank", F.when(pair, F.lit(capacity) - F.col("gap") + F.col("used")).alias("offset"))
 
 
+def _to_open(band: list[int], left: dict[int, int], gaps: dict[int, int], capacity: int) -> int:
+    """How many sequences to open before a superstep of a band (sizes left, the largest first)."""
+
+    def sequences(docs: list[tuple[int, int]]) -> int:
+        each = capacity // docs[0][0]
+        return -(-sum(n for _, n in docs) // each) if each < 4 else -(-sum(size * n for size, n in docs) // capacity)
+
+    most = max(gaps, default=0)
+    unfit = [(size, left[size]) for size in band if size > most]
+    new = sequences(unfit) if unfit else 0
+    short = sum(left[size] for size in band) - sum(n * max(1, g // band[0]) for g, n in gaps.items() if g >= band[-1])
+    if short > 0 and band[0] < 3 * band[-1]:
+        least: list[tuple[int, int]] = []  # the smallest documents, as many as there are more than offers
+        for size in reversed(band):
+            least.insert(0, (size, min(short, left[size])))
+            short -= left[size]
+            if short <= 0:
+                break
+        new = max(new, sequences([(band[0], 0), *least]))
+    return new
+
+
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset (long) to a stored table of pieces (id, piece, length, ...)."""
     spark = pieces.sparkSession
@@ -289,7 +324,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         band_of = F.when(F.col("length") <= band[0], F.lit(no)).otherwise(band_of)
     rows = stored(ranked(hashed, ["length"], "bucket", order, "rank").drop("bucket").withColumn("band", band_of), "ranked-pieces", "band")
     placed = spark.createDataFrame([], "length long, rank long, sequence_id long, offset long")
-    opened, state, gaps = 0, None, {}
+    opened, state, gaps, buckets = 0, None, {}, _buckets(sum(left.values()) // 4)
     for no, band in enumerate(bands):
         docs = rows.where(F.col("band") == no).select("length", "rank")
         if 2 * band[-1] > capacity:  # no two of them fit in one sequence, and nothing is open yet: each opens one
@@ -298,24 +333,18 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 starts.append((n, opened))
                 opened += left[n]
                 gaps[capacity - n], left[n] = left[n], 0
-            alone = docs.join(F.broadcast(spark.createDataFrame(starts, "length long, start long")), "length")
+            alone = docs.join(F.broadcast(_table(spark, ["length", "start"], starts)), "length")
             alone = alone.select("length", "rank", (F.col("start") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
             placed = alone
             state = alone.select(F.col("sequence_id").alias("seq"), (F.lit(capacity) - F.col("length")).alias("gap"))
             gaps = {g: n for g, n in gaps.items() if g >= _least(left, capacity)}
         while any(left[n] for n in band):
             band = [n for n in band if left[n]]
-            unfit = [n for n in band if n > max(gaps, default=0)]
-            new = 0
-            if unfit:
-                each = capacity // unfit[0]
-                new = -(-sum(left[n] for n in unfit) // each) if each < 4 else -(-sum(n * left[n] for n in unfit) // capacity)
-            free = spark.range(opened, opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-            if state is not None:
-                free = state.where(F.col("gap") >= _least(left, capacity)).select("seq", "gap").union(free)
-            gaps[capacity] = gaps.get(capacity, 0) + new
+            new = _to_open(band, left, gaps, capacity)
+            if new:
+                gaps[capacity] = gaps.get(capacity, 0) + new
+            step = _superstep(state, docs, gaps, {n: left[n] for n in band}, first, (opened, new), buckets, capacity)
             opened += new
-            step = _superstep(free, docs, _Order({g: n for g, n in gaps.items() if n}, {n: left[n] for n in band}), _buckets(max(gaps.values())), first, capacity)
             state = stored(step, "superstep")
             placed = placed.union(state.where("length is not null").select("length", "rank", F.col("seq").alias("sequence_id"), "offset"))
             gaps = {}
