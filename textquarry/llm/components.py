@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop_path, new_path
+from .scratch import drop_path, new_path, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -55,5 +55,6 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         drop_path(spark, last)  # nothing reads it any more
         if state == before:
             break
+    release(spark)
     members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranked
-from .scratch import stored
+from .scratch import release, stored
 
 #: Rows of one size class ranked by one task, about.
 BUCKET_ROWS = 4000
@@ -355,6 +355,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                     left[r["length"]] -= r["n"]
                     first[r["length"]] += r["n"]
             gaps = {g: n for g, n in gaps.items() if g >= _least(left, capacity)}
+        release(spark)
     return rows.drop("band").join(placed, ["length", "rank"]).drop("rank")
 
 

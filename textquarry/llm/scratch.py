@@ -67,6 +67,12 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what jobs that are over have left: plans, broadcasts and shuffle files are held until a collection of the
+    driver's heap finds that nothing refers to them, and many small jobs would fill the heap before."""
+    spark._jvm.System.gc()
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """A column name that no column of ``df`` has, whatever their case."""
     taken = {c.lower() for c in df.columns}
