@@ -370,8 +370,8 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str =
     others = reps.join(sizes.join(keys, ["label", "dim"], "left_anti"), ["label", "dim"]).withColumn("chunks", F.ceil(F.col("n") / F.col("chunk")))
     p = F.pmod(F.xxhash64("id"), F.col("chunks"))
     paired = others.select("label", "dim", p.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("q"), "id", "weight", "key", "v", "n", "chunk")
-    paired = paired.select("label", "dim", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "weight", "key", "v", (F.col("n") * 8 < F.col("chunk")).alias("small"))
-    tasks = max(1, total // 4096)
+    paired = paired.select("label", "dim", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), (F.col("p") > F.col("q")).cast("int").alias("side"), "id", "weight", "key", "v", (F.col("n") * 32 < F.col("chunk")).alias("small"))
+    tasks = max(1, total // 1024)
     task = F.when(F.col("small"), F.pmod(F.xxhash64("label", "dim"), F.lit(tasks))).otherwise(F.xxhash64("label", "dim", "first", "second"))
     units = units.withColumn("small", F.lit(False)).unionByName(paired).withColumn("task", task)
     found = units.groupBy("task", "small").applyInPandas(_compared(cosine), "label long, dim int, key binary, n long, a long, b long")
