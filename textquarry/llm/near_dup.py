@@ -167,7 +167,10 @@ def _unit_links(percent: int):
 
 def _links_in_buckets(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (c_a, c_b) between components that meet in a bucket; ``placed``: (band, h, id, n, c)."""
-    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).where("low < high")
+    # buckets of other bands that hold the very same texts have the same pairs: one of them is enough (digests of 128 bits)
+    digest = [F.sum(F.xxhash64("id", "n", F.lit(seed)).cast("decimal(38,0)")).alias(f"d{seed}") for seed in (1, 2)]
+    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"), *digest).where("low < high")
+    mixed = mixed.groupBy("rows", "elements", "d1", "d2").agg(F.min(F.struct("band", "h")).alias("x")).select("x.band", "x.h", "rows", "elements")
     chunks = F.ceil(F.greatest(F.col("rows") / CHUNK_ROWS, F.col("elements") * 8 / CHUNK_BYTES)).cast("int")
     mixed = stored(mixed.select("band", "h", F.when(F.col("rows") > FEW, chunks).otherwise(0).alias("chunks")), "mixed-buckets")
     rows = stored(placed.join(mixed, ["band", "h"]), "mixed")
