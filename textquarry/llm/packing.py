@@ -298,7 +298,7 @@ def _to_open(band: list[int], left: dict[int, int], gaps: dict[int, int], capaci
     unfit = [(size, left[size]) for size in band if size > most]
     new = sequences(unfit) if unfit else 0
     short = sum(left[size] for size in band) - sum(n * max(1, g // band[0]) for g, n in gaps.items() if g >= band[-1])
-    if short > 0 and band[0] < 3 * band[-1]:
+    if short > 0 and band[0] * BANDS[-1] > capacity:  # the smallest sizes fill what others leave, in later supersteps
         least: list[tuple[int, int]] = []  # the smallest documents, as many as there are more than offers
         for size in reversed(band):
             least.insert(0, (size, min(short, left[size])))
