@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from textquarry.llm import decontamination, line_dedup
+from textquarry.llm import decontamination, line_dedup, packing, quality
 from textquarry.llm.queries import QUERIES, tokenizer_path
 
 from .test_pair_operators import least_reachable
@@ -153,3 +153,23 @@ def test_scratch_is_shared_and_goes(spark, tmp_path, monkeypatch):
         context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             scratch.shared_dir(SimpleNamespace(conf=unset, sparkContext=context))
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """The sample and the fit's arrays stay with a worker."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "a b c d" if i % 2 else "A | B | C", i % 2) for i in range(40)], "doc_id long, text string, quality int")
+    monkeypatch.setattr(quality, "fit_quality", lambda *a: 1 / 0)
+    weights, square, a, b = quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality"), F.lit(True))
+    assert len(weights) == len(square) == quality.WIDTH and weights.any() and a > 0 and np.isfinite(b)
+
+
+def test_packing_releases_each_superstep(spark, monkeypatch):
+    calls, stored = [], packing.stored
+    monkeypatch.setattr(packing, "release", lambda spark: calls.append("release"))
+    monkeypatch.setattr(packing, "stored", lambda df, name, *by: calls.append(name) or stored(df, name, *by))
+    pieces = stored(spark.createDataFrame([(i, 0, 0, 1 + i % 4, 0) for i in range(60)], packing._PIECES), "pieces")
+    packing.pack(pieces, 16)
+    steps = [c for c in calls if c in ("release", "superstep")]
+    assert len(steps) >= 4 and steps == ["superstep", "release"] * (len(steps) // 2)

@@ -355,7 +355,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                     left[r["length"]] -= r["n"]
                     first[r["length"]] += r["n"]
             gaps = {g: n for g, n in gaps.items() if g >= _least(left, capacity)}
-        release(spark)
+            release(spark)  # the plans of a band's supersteps together can fill the driver's heap
     return rows.drop("band").join(placed, ["length", "rank"]).drop("rank")
 
 

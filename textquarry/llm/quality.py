@@ -118,6 +118,15 @@ def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["columns", "label"])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, as one row."""
+    rows = [(c, label) for batch in batches for c, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    rows.sort(key=lambda r: (zlib.crc32(r[0]), r[1], len(r[0])))  # the same order however the rows arrive
+    weights, square, a, b = fit_quality([np.frombuffer(c, dtype=np.int32) for c, _ in rows], np.array([label == 1 for _, label in rows], dtype=bool))
+    columns = [pa.array([weights.tobytes()], pa.binary()), pa.array([square.tobytes()], pa.binary()), pa.array([a], pa.float64()), pa.array([b], pa.float64())]
+    yield pa.RecordBatch.from_arrays(columns, ["weights", "square", "a", "b"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple:
     """The model, from at most ``fit_rows`` labelled rows whose id meets ``learn_from`` (a condition on a column ``id``).
 
@@ -128,9 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_rows: int
     sample = known.orderBy(F.xxhash64("id", F.lit(7)), "id", "label").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     picked = texts.join(F.broadcast(sample), "id").select("text", "label", "id")
-    found = picked.select("text", "label").mapInArrow(_indicator_rows, "columns binary, label int").collect()
-    found.sort(key=lambda r: (zlib.crc32(r["columns"]), r["label"], len(r["columns"])))  # the same order however the rows arrive
-    return fit_quality([np.frombuffer(r["columns"], dtype=np.int32) for r in found], np.array([r["label"] == 1 for r in found], dtype=bool))
+    found = picked.select("text", "label").mapInArrow(_indicator_rows, "columns binary, label int")
+    # a worker fits: the driver gets the model alone, neither the sample nor what the fit makes of it
+    model = found.repartition(1).mapInArrow(_fitted, "weights binary, square binary, a double, b double").collect()
+    if not model:  # no task runs for an empty sample
+        return fit_quality([], np.zeros(0, dtype=bool))
+    return np.frombuffer(model[0]["weights"], dtype=np.float32), np.frombuffer(model[0]["square"], dtype=np.float32), model[0]["a"], model[0]["b"]
 
 
 def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
