@@ -84,6 +84,28 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(out, key=str) == sorted([(None, None, True), (1, 1, True), (1, 1, True), (3, 1, False), (2, 2, True)], key=str)
 
 
+def test_near_duplicates_move_no_texts(spark):
+    """Where no join may broadcast: shuffles move hashes and registers, and sets of what shares a bucket."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.randrange(16**8):08x}" for _ in range(1500)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:2], edited(texts[2].split(" "), rng, 9)])), "doc_id long, text string")
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def moved():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = moved()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {k: v for k, v in out.items() if k != v} == {120: 0, 121: 1, 122: 2}
+    assert sum(v for k, v in moved().items() if k not in before) < 0.6 * sum(map(len, texts))
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, size=1500).astype(np.uint64)

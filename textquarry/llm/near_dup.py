@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import setsketch
 from .components import connected_components
 from .kernels import U, shingle_set, splitmix, texts_of
-from .scratch import stored
+from .scratch import drop_path, new_path, release, stored
 
 #: How far below the threshold an estimate may lie; the standard error at 0.8 is 0.03.
 SLACK = 0.17
@@ -43,7 +43,10 @@ CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
 #: Shingles in at least so many texts of a unit are counted by products of matrices, the others by their pairs.
 FREQUENT = 12
 
-_SKETCH = "id long, n long, d1 long, d2 long, bands array<long>, registers binary"
+#: Bits of a filter of ids: so many an id, but no more than ``MOST_BITS`` in all.
+ID_BITS, MOST_BITS = 16, 1 << 27
+
+_SKETCH = "id long, n long, d1 long, d2 long, registers binary"
 
 
 def _sketches(k: int):
@@ -57,23 +60,48 @@ def _sketches(k: int):
                 n.append(len(found))
                 registers.append(setsketch.registers(found))
             d = np.array(digests, dtype=U).reshape(-1, 2).view(np.int64)
-            sets = np.array(registers, dtype=np.uint16).reshape(-1, setsketch.REGISTERS)
-            bands = pa.ListArray.from_arrays(np.arange(0, len(n) * setsketch.BANDS + 1, setsketch.BANDS, dtype=np.int32), setsketch.band_hashes(sets).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), bands, pa.array([r.tobytes() for r in sets], pa.binary())],
-                ["id", "n", "d1", "d2", "bands", "registers"],
-            )
+            columns = [ids, pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([r.tobytes() for r in registers], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "registers"])
 
     return sketch
 
 
-def _sets(k: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(text, k).tobytes() for text in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the bands; they differ from band to band too."""
+    for batch in batches:
+        sets = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16)
+        bands = pa.ListArray.from_arrays(np.arange(0, len(batch) * setsketch.BANDS + 1, setsketch.BANDS, dtype=np.int32), setsketch.band_hashes(sets).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], ["id", "n", "bands"])
+
+
+class _Marked:
+    """A filter of a stored table's ids: it keeps every row of theirs and few others, so nothing is moved to find them."""
+
+    def __init__(self, ids: DataFrame) -> None:
+        self.bits = 1 << 16
+        while self.bits < min(MOST_BITS, ID_BITS * ids.count()):
+            self.bits *= 2
+        place = ids.select(self.place().alias("x"))
+        found = place.groupBy(F.shiftright("x", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(x % 64))")).alias("word")).toArrow()
+        words = np.zeros(self.bits // 64, dtype=np.int64)
+        words[found.column("at").to_numpy()] = found.column("word").to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(words.view(U))
 
-    return sets
+    def place(self):
+        return F.pmod(F.xxhash64("id"), F.lit(self.bits))
+
+    def kept(self, rows: DataFrame, value: str, kind: str, change=lambda column: column) -> DataFrame:
+        """(id, value) of the rows kept; ``change`` makes what is returned of an Arrow column of values."""
+        shared = self.shared
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = shared.value
+            for batch in batches:
+                x = batch.column(2).to_numpy().astype(U)
+                some = batch.filter(pa.array((words[x >> U(6)] >> (x & U(63)) & U(1)).astype(bool)))
+                yield pa.RecordBatch.from_arrays([some.column(0), change(some.column(1))], ["id", kind.split(" ")[0]])
+
+        return rows.where("id is not null").select("id", value, self.place().alias("x")).mapInArrow(keep, f"id long, {kind}")
 
 
 def _estimated(least: float):
@@ -166,25 +194,25 @@ def _unit_links(percent: int):
 
 
 def _links_in_buckets(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (c_a, c_b) between components that meet in a bucket; ``placed``: (band, h, id, n, c)."""
+    """Links (c_a, c_b) between components that meet in a bucket; ``placed``: (h, id, n, c)."""
     # buckets of other bands that hold the very same texts have the same pairs: one of them is enough (digests of 128 bits)
     digest = [F.sum(F.xxhash64("id", "n", F.lit(seed)).cast("decimal(38,0)")).alias(f"d{seed}") for seed in (1, 2)]
-    mixed = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"), *digest).where("low < high")
-    mixed = mixed.groupBy("rows", "elements", "d1", "d2").agg(F.min(F.struct("band", "h")).alias("x")).select("x.band", "x.h", "rows", "elements")
+    mixed = placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"), *digest).where("low < high")
+    mixed = mixed.groupBy("rows", "elements", "d1", "d2").agg(F.min("h").alias("h")).select("h", "rows", "elements")
     chunks = F.ceil(F.greatest(F.col("rows") / CHUNK_ROWS, F.col("elements") * 8 / CHUNK_BYTES)).cast("int")
-    mixed = stored(mixed.select("band", "h", F.when(F.col("rows") > FEW, chunks).otherwise(0).alias("chunks")), "mixed-buckets")
-    rows = stored(placed.join(mixed, ["band", "h"]), "mixed")
+    mixed = stored(mixed.select("h", F.when(F.col("rows") > FEW, chunks).otherwise(0).alias("chunks")), "mixed-buckets")
+    rows = stored(placed.join(mixed, "h"), "mixed")
 
-    side = lambda x: rows.where("chunks = 0").select("band", "h", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
-    pairs = side("a").join(side("b"), ["band", "h"]).where("c_a < c_b").where(_similar_sizes(percent))
+    side = lambda x: rows.where("chunks = 0").select("h", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}"))
+    pairs = side("a").join(side("b"), "h").where("c_a < c_b").where(_similar_sizes(percent))
     pairs = stored(pairs.select("a", "b", "n_a", "n_b", "c_a", "c_b").distinct(), "pairs")
     listed = _tested(pairs, sketches, sets, percent).join(pairs.select("a", "b", "c_a", "c_b"), ["a", "b"]).select("c_a", "c_b")
 
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    units = rows.where("chunks > 0").select("band", "h", "id", "c", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("q"))
+    units = rows.where("chunks > 0").select("h", "id", "c", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("q"))
     # only one side of a pair of chunks is named first; a chunk with itself is a unit too
-    units = units.select("band", "h", "id", "c", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), (F.col("p") > F.col("q")).cast("int").alias("side"))
-    counted = units.join(sets, "id").groupBy("band", "h", "first", "second").applyInPandas(_unit_links(percent), "c_a long, c_b long")
+    units = units.select("h", "id", "c", F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), (F.col("p") > F.col("q")).cast("int").alias("side"))
+    counted = units.join(sets, "id").groupBy("h", "first", "second").applyInPandas(_unit_links(percent), "c_a long, c_b long")
     return listed.union(counted).distinct()
 
 
@@ -205,20 +233,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     * Only the two named columns are read; others may have any name. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(rows.mapInArrow(_sketches(k), _SKETCH), "sketches")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "sketches")
+    rows.mapInArrow(_sketches(k), _SKETCH).write.parquet(path)
+    sketches = spark.read.schema(_SKETCH).parquet(path)
     known = sketches.where("n > 0 and id is not null")
+    sizes = stored(sketches.select("id", "n"), "sizes")
 
     classes = known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
     copies = stored(known.select("id", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).where("id > rep").select("id", "d1", "d2", "rep").distinct(), "copies")
-    reps = known.join(copies, ["id", "d1", "d2"], "left_anti")
-
-    banded = reps.select("id", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = stored(banded.groupBy("band", "h").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("band", "h", "first"), "buckets")
-    inside = stored(banded.join(buckets, ["band", "h"]).select("band", "h", "id", "n", F.col("first.id").alias("lead"), F.col("first.n").alias("lead_n")), "bucketed")
-    candidates = inside.select("id").distinct()
-    sets = stored(rows.join(candidates, "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), "sets")
-    sized = reps.join(candidates, "id", "left_semi").select("id", "registers")
-    sized = stored(sized, "registers")
+    reps = stored(known.join(copies, ["id", "d1", "d2"], "left_anti").select("id", "n", "registers"), "reps")
+    drop_path(spark, path)  # nothing reads it any more, and the shuffle files of a step aren't kept for the next one
+    release(spark)
+
+    banded = reps.mapInArrow(_bands, "id long, n long, bands array<long>").select("id", "n", F.explode("bands").alias("h"))
+    buckets = stored(banded.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h"), "buckets")
+    release(spark)
+    several = stored(banded.join(buckets, "h").select("h", "id", "n"), "in-buckets")
+    release(spark)
+    leads = several.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("h", "first")
+    inside = stored(several.join(leads, "h").select("h", "id", "n", F.col("first.id").alias("lead"), F.col("first.n").alias("lead_n")), "bucketed")
+    candidates = _Marked(stored(inside.select("id").distinct(), "candidates"))
+    sets = stored(candidates.kept(rows, "text", "set binary", lambda texts: pa.array([shingle_set(t, k).tobytes() for t in texts_of(texts)], pa.binary())), "sets")
+    sized = stored(candidates.kept(reps, "registers", "registers binary"), "registers")
+    release(spark)
 
     led = inside.select(F.col("id").alias("a"), F.col("lead").alias("b"), F.col("n").alias("n_a"), F.col("lead_n").alias("n_b")).where("a > b").where(_similar_sizes(percent))
     shared = led.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("bands"))
@@ -226,7 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = connected_components(_tested(best, sized, sets, percent), "a", "b")
     first = stored(first, "components")
 
-    placed = inside.select("band", "h", "id", "n").join(first, "id", "left").select("band", "h", "id", "n", F.coalesce("component", "id").alias("c"))
+    placed = inside.select("h", "id", "n").join(first, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
     second = connected_components(_links_in_buckets(placed, sized, sets, percent), "c_a", "c_b")
 
     of_reps = first.join(second.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component"))
@@ -235,6 +272,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     of_copies = copies.select("id", F.col("rep").alias("r")).join(of_reps.select(F.col("id").alias("r"), F.col("component").alias("c")), "r", "left").select("id", F.coalesce("c", "r").alias("component"))
     # an id with several texts can stand in several components: the least is taken
     members = of_reps.union(of_copies).groupBy("id").agg(F.min("component").alias("component"))
-    out = sketches.select("id", "n").join(members, "id", "left")
+    out = sizes.join(members, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
